@@ -6,8 +6,8 @@ read in parallel. The row indexes (minima and maxima every ``orc.row.index.strid
 filters let a reader skip stripes and row groups for a doc_id (``lookup``). Beside the ids a row holds
 its part and its offset within the part; the parts' totals, one row a file, give the global start.
 
-Words between spaces and line feeds are encoded once per worker while they are remembered: no
-normalisation or split of the tokenizer reaches across them. Special tokens' strings are ordinary text.
+Pre-tokens are encoded once per worker while they are remembered. Special tokens' strings are ordinary
+text.
 
 Defined results: null and empty texts have the end id alone; null doc_ids come first; rows that share a
 doc_id keep an arbitrary order among themselves; an empty table gives an empty folder and result.
@@ -15,8 +15,12 @@ doc_id keep an arbitrary order among themselves; an empty table gives an empty f
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import batched
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +30,8 @@ from pyspark.sql import functions as F
 from ._common import id_and_text, new_path, partitions, table
 
 END_ID = 1
-#: Words whose ids a Python worker keeps (about 120 MB); then it starts anew.
-MEMO_WORDS = 500_000
+#: Pre-tokens whose ids a Python worker keeps (about 130 MB); then it starts anew.
+MEMO_WORDS = 600_000
 ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "compression": "zstd"}
 SCHEMA = "doc_id long, part int, first long, ids array<int>"
 
@@ -39,27 +43,55 @@ def default_tokenizer() -> str:
 
 
 class WordEncoder:
-    """Encodes by the tokenizers library, word by word."""
+    """Encodes by the tokenizers library, each pre-token once as long as it is remembered.
+
+    A text of Latin-1 letters, ASCII white space and visible signs is lower-cased and cut here as the
+    library would; any other text is cut at spaces and line feeds only, which is safe whatever it holds.
+    """
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
+        self.plain = _is_plain(definition)
         self.memo: dict[str, bytes] = {}
 
+    def cut(self, text: str) -> list[str]:
+        if self.plain:
+            try:
+                if not text.encode("latin-1").translate(None, PLAIN_BYTES):
+                    return PLAIN_CUT.findall(text.lower())
+            except UnicodeEncodeError:
+                pass
+        return text.replace("\n", " ").split(" ")
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
-        words, memo = text.replace("\n", " ").split(" "), self.memo
-        if missing := [w for w in dict.fromkeys(words) if w not in memo]:
+        parts, memo = self.cut(text), self.memo
+        if missing := {w for w in parts if w not in memo}:
             if len(memo) + len(missing) > MEMO_WORDS:
                 memo.clear()
-                missing = list(dict.fromkeys(words))
-            for lo in range(0, len(missing), 10_000):
-                some = missing[lo : lo + 10_000]
-                found = self.tokenizer.encode_batch(some, add_special_tokens=False)
-                memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, found, strict=True))
-        return b"".join(map(memo.__getitem__, words))
+                missing = set(parts)
+            for some in batched(missing, 10_000):
+                found = self.tokenizer.encode_batch_fast(list(some), add_special_tokens=False)
+                memo.update((w, pack(f"<{len(ids := e.ids)}I", *ids)) for w, e in zip(some, found, strict=True))
+        return b"".join(map(memo.__getitem__, parts))
+
+
+#: Latin-1 without control characters and the spaces beyond ASCII, whose classes libraries disagree on.
+PLAIN_BYTES = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xA1, 0x100)])
+#: The definition's own pattern on lower-cased plain texts.
+PLAIN_CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\s0-9a-z\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+")
+#: The steps of a definition that PLAIN_CUT stands for.
+PLAIN_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _is_plain(definition: str) -> bool:
+    d = json.loads(definition)
+    steps, cuts = ((d.get(k) or {}).get(v, []) for k, v in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+    return [x["type"] for x in steps] == PLAIN_NORMALIZERS and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"].get("Regex") == PLAIN_PATTERN
 
 
 _MADE: dict[int, WordEncoder] = {}
