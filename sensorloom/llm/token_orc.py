@@ -138,7 +138,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     totals = rows.groupBy("part").agg(F.max(F.col("first") + size).alias("total"))  # one row a file
     upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select("part", F.coalesce(F.sum("total").over(upto), F.lit(0)).alias("base"))
-    return rows.join(base, "part").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "ids")
+    # one row of two numbers for each range that ``write`` dealt: their number is a setting, not the data's
+    return rows.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "ids")
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
