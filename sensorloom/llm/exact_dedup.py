@@ -27,6 +27,7 @@ from .mph import MinimalPerfectHash
 #: About as many distinct digests a bucket; bounds the memory of a build or lookup task.
 BUCKET_KEYS = 200_000
 BEST = "struct<n_chars:int,neg_id:bigint,neg_row:bigint>"
+_BEST = pa.struct([("n_chars", pa.int32()), ("neg_id", pa.int64()), ("neg_row", pa.int64())])
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,8 +63,8 @@ def build_index(history: DataFrame, n_buckets: int) -> DataFrame:
         b = t.column("bucket")[0].as_py()
         f = MinimalPerfectHash(_fingerprints(t.column("digest").combine_chunks()))
         slots = f.lookup(_fingerprints(t.column("digest").combine_chunks()))
-        out = pa.table({"bucket": t.column("bucket"), "slot": pa.array(slots), "digest": t.column("digest"), "best": t.column("best"), "n": t.column("n"), "hash": pa.nulls(len(t), pa.binary())})
-        head = pa.table({"bucket": pa.array([b], pa.int32()), "slot": pa.array([-1], pa.int64()), "digest": pa.nulls(1, pa.binary()), "best": pa.nulls(1, t.schema.field("best").type), "n": pa.nulls(1, pa.int64()), "hash": pa.array([pickle.dumps(f)], pa.binary())})
+        out = pa.table({"bucket": t.column("bucket"), "slot": pa.array(slots), "digest": t.column("digest"), "best": t.column("best").cast(_BEST), "n": t.column("n"), "hash": pa.nulls(len(t), pa.binary())})
+        head = pa.table({"bucket": pa.array([b], pa.int32()), "slot": pa.array([-1], pa.int64()), "digest": pa.nulls(1, pa.binary()), "best": pa.nulls(1, _BEST), "n": pa.nulls(1, pa.int64()), "hash": pa.array([pickle.dumps(f)], pa.binary())})
         return pa.concat_tables([head, out.cast(head.schema)])
 
     schema = f"bucket int, slot long, digest binary, best {BEST}, n long, hash binary"
@@ -88,7 +89,7 @@ def assign(batch: DataFrame, index: DataFrame, n_buckets: int) -> DataFrame:
                 if held[s].as_py() == keys[i]:  # the bytes decide, not the hash
                     member[i] = True
                     ours[i] = (max(ours[i][0], best[s].as_py(), key=_rank), ours[i][1] + n[s].as_py())
-        return pa.table({"digest": pa.array(keys, pa.binary()), "member": pa.array(member, pa.bool_()), "best": pa.array([x for x, _ in ours], new.schema.field("best").type), "n": pa.array([n for _, n in ours], pa.int64())})
+        return pa.table({"digest": pa.array(keys, pa.binary()), "member": pa.array(member, pa.bool_()), "best": pa.array([x for x, _ in ours], _BEST), "n": pa.array([n for _, n in ours], pa.int64())})
 
     left, right = batch.withColumn("bucket", bucket(n_buckets)).groupBy("bucket"), index.groupBy("bucket")
     return left.cogroup(right).applyInArrow(probe, f"digest binary, member boolean, best {BEST}, n long")
