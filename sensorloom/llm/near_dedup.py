@@ -11,9 +11,10 @@ word sequences form one class first; the work that follows is on classes.
    stays if the best similarity isn't below ``FLOOR``, over four standard deviations under the threshold.
 3. The pairs are verified on full sets, and links joined to components by alternating star steps.
 4. A bucket that still holds two or more components may hide links between members. They are compared in
-   bounded blocks inside the tasks, by the same two filters and only in the first band a pair shares;
-   pairs that stay are verified like the others. So no bucket is ever expanded into all its pairs,
-   and none is cut short.
+   bounded blocks inside the tasks, by the same two filters and only in the first band a pair shares, then
+   by ``DEEP`` further registers of four bits, whose estimate stays over ``DEEP_FLOOR``, again over four
+   standard deviations under the threshold. Pairs that stay are verified like the others. So no bucket is
+   ever expanded into all its pairs, and none is cut short.
 
 Defined results: null text counts as empty; empty texts and texts of white space have an empty set and
 are linked with nothing; texts of one or two words have one shingle; a null doc_id is no candidate for
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import id_and_text, materialise, partitions, table
+from ._common import id_and_text, materialise, partitions, prefilter, table
 
 SHINGLE = 3
 #: Link when PER_CENT * union <= 100 * intersection.
@@ -39,6 +40,7 @@ ROWS, BANDS = 7, 32
 REGISTERS = ROWS * BANDS
 BASE = 1.001
 FLOOR = 0.75
+DEEP, DEEP_FLOOR = 1024, 0.80
 #: Rows of a bucket in one block, and pairs verified in one group, about.
 BLOCK = 512
 PAIRS = 2000
@@ -46,6 +48,8 @@ PAIRS = 2000
 _RNG = np.random.default_rng(85_20240229)
 _MUL = _RNG.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
+_DEEP_MUL = _RNG.integers(0, 1 << 63, DEEP, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_DEEP_ADD = _RNG.integers(0, 1 << 63, DEEP, dtype=np.uint64)
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 #: The largest exponential a 64-bit minimum can stand for; exponents count down from it.
@@ -99,6 +103,22 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(x / _LARGEST) / np.log(BASE)), 0, 65535).astype("<u2")
 
 
+def deep_sketch(s: np.ndarray) -> np.ndarray:
+    """Four bits of the minimum of each further register, two a byte."""
+    low = np.full(DEEP, np.iinfo(np.uint64).max, np.uint64)
+    for lo in range(0, len(s), 128):
+        np.minimum(low, (s[lo : lo + 128, None] * _DEEP_MUL + _DEEP_ADD).min(0), out=low)
+    four = (_mixed(low) >> np.uint64(60)).astype(np.uint8)
+    return four[::2] << 4 | four[1::2]
+
+
+def deep_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The similarities that rows of deep sketches stand for: one in sixteen registers agrees by chance."""
+    x = a ^ b
+    same = ((x & 15 == 0).sum(1) + (x >> 4 == 0).sum(1)) / DEEP
+    return (same - 1 / 16) / (15 / 16)
+
+
 def _p(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The chance that one register exceeds the other where a share x of the union is on its side, and its slope."""
     c = (BASE - 1) / BASE
@@ -148,8 +168,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo in range(0, len(b), 512):
             words = [words_of(t.as_py()) for t in b.slice(lo, 512).column(0)]
-            raw = [shingles(w).tobytes() for w in words]
-            yield pa.RecordBatch.from_arrays([pa.array([xxh3_128_digest(b" ".join(w)) for w in words], pa.binary()), pa.array(raw, pa.binary())], ["key", "members"])
+            sets = [shingles(w) for w in words]
+            cells = [xxh3_128_digest(b" ".join(w)) for w in words], [s.tobytes() for s in sets], [deep_sketch(s).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in cells], ["key", "members", "deep"])
 
 
 def bands(classes: DataFrame) -> DataFrame:
@@ -164,11 +185,10 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     Pairs are dealt by a grid of the hashes of both sides, crowded cells further by the pair; each cell
     gets each set it needs once.
     """
-    spark = pairs.sparkSession
     n = pairs.count()
     side = max(1, int((n / PAIRS) ** 0.5))
     cell = F.struct(F.pmod(F.xxhash64("a"), F.lit(side)).alias("i"), F.pmod(F.xxhash64("b"), F.lit(side)).alias("j"))
-    counts = materialise(pairs.groupBy(cell.alias("c")).agg(F.ceil(F.count("*") / (2 * PAIRS)).alias("parts")), "mh-cells")
+    counts = pairs.groupBy(cell.alias("c")).agg(F.ceil(F.count("*") / (2 * PAIRS)).alias("parts"))  # a row a cell
     dealt = pairs.withColumn("c", cell).join(counts, "c").select("a", "b", F.xxhash64("c", F.pmod(F.xxhash64("a", "b"), F.col("parts"))).alias("cell"))
     dealt = materialise(dealt, "mh-dealt")
     need = dealt.select("cell", F.explode(F.array("a", "b")).alias("key")).distinct()
@@ -185,13 +205,15 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             keep.append(100 * both >= PER_CENT * (len(x) + len(y) - both))
         return left.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    full = need.join(sets, "key").select(F.col("cell").alias("at"), "key", "members")
+    full = need.join(sets.select("key", "members"), "key").select(F.col("cell").alias("at"), "key", "members")
     return dealt.groupBy("cell").cogroup(full.groupBy("at")).applyInArrow(run, "a binary, b binary")
 
 
-def components(links: DataFrame, key_type: str = "binary") -> DataFrame:
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """(key, root) of all keys in ``links`` (a, b) but the roots: root is the smallest key reachable.
 
+    With ``rounds`` it stops early: each key once, with a root in its component that need not be the smallest.
+
     Alternating large-star and small-star steps: each is an aggregate and a join on distributed tables,
     and the number of steps grows with the logarithm of the graph's size.
     """
@@ -199,7 +221,7 @@ def components(links: DataFrame, key_type: str = "binary") -> DataFrame:
         return F.struct(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
 
     edges = materialise(links.where("a <> b").select(ordered(F.col("a"), F.col("b")).alias("e")).select("e.u", "e.v").distinct(), "cc-edges")
-    mark = None
+    mark, done = None, 0
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = materialise(both.groupBy("u").agg(F.min("v").alias("m")), "cc-low").select("u", F.least("m", "u").alias("m"))
@@ -208,22 +230,26 @@ def components(links: DataFrame, key_type: str = "binary") -> DataFrame:
         low = materialise(edges.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
         small = edges.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v")
         edges = materialise(small.distinct(), "cc-small")
+        done += 1
+        if done == rounds:
+            return edges.groupBy(F.col("u").alias("key")).agg(F.min("v").alias("root"))
         seen = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if seen == mark:
             return edges.select(F.col("u").alias("key"), F.col("v").alias("root"))
         mark = seen
 
 
-def _cross(members: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of different components inside the buckets of ``members`` (bucket, band, key, root, n, sketch).
+def _cross(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of different components inside the buckets of ``members`` (bucket, band, key, root).
 
     The members of a bucket outside its largest component are met by all members, in blocks of ``BLOCK``.
+    ``sketches`` (key, n, sketch, deep) joins the members of mixed buckets only.
     """
     spark = members.sparkSession
     sizes = members.groupBy("bucket", "root").agg(F.count("*").alias("n_root"))
     whole = sizes.groupBy("bucket").agg(F.sum("n_root").alias("size"), F.max(F.struct("n_root", "root")).alias("most"), F.count("*").alias("roots"))
     whole = materialise(whole.where("roots > 1").select("bucket", "size", F.col("most.root").alias("most_root"), (F.col("size") - F.col("most.n_root")).alias("rest")), "mh-mixed")
-    rows = members.join(whole, "bucket")
+    rows = members.join(whole, "bucket").join(sketches, "key")
     tall, wide = F.ceil(F.col("size") / BLOCK), F.ceil(F.col("rest") / BLOCK)
     at = F.xxhash64("key")
     # small buckets go together, a large one has a cell for each pair of blocks
@@ -231,15 +257,17 @@ def _cross(members: DataFrame) -> DataFrame:
     cells = F.when(tall == 1, F.array(F.pmod("bucket", F.lit(n_groups))))
     down = F.transform(F.sequence(F.lit(0).cast("long"), wide - 1), lambda j: F.xxhash64(F.col("bucket"), F.pmod(at, tall), j))
     across = F.transform(F.sequence(F.lit(0).cast("long"), tall - 1), lambda i: F.xxhash64(F.col("bucket"), i, F.pmod(at, wide)))
-    met = rows.select("*", F.explode(F.coalesce(cells, down)).alias("cell"), F.lit(False).alias("asks"))
-    asks = rows.where("root <> most_root").select("*", F.explode(F.coalesce(cells, across)).alias("cell"), F.lit(True).alias("asks"))
-    dealt = met.unionByName(asks).select("cell", "asks", "bucket", "band", "key", "root", "n", "sketch")
+    both = F.transform(F.coalesce(cells, down), lambda c: F.struct(c.alias("cell"), F.lit(False).alias("asks")))
+    asks = F.transform(F.coalesce(cells, across), lambda c: F.struct(c.alias("cell"), F.lit(True).alias("asks")))
+    both = F.when(F.col("root") == F.col("most_root"), both).otherwise(F.concat(both, asks))
+    dealt = rows.select("*", F.explode(both).alias("c")).select("c.cell", "c.asks", "bucket", "band", "key", "root", "n", "sketch", "deep")
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("bucket", "ascending"), ("asks", "ascending")])
         key, root = (np.array(t.column(c).to_pylist(), object) for c in ("key", "root"))
         bucket, band, n, asks = (t.column(c).to_numpy() for c in ("bucket", "band", "n", "asks"))
         sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u2").reshape(len(t), REGISTERS)
+        deep = np.frombuffer(b"".join(t.column("deep").to_pylist()), np.uint8).reshape(len(t), DEEP // 2)
         ends = np.append(np.flatnonzero(np.diff(bucket)) + 1, len(t))
         out: list[tuple[bytes, bytes]] = []
         for lo, hi in zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist(), strict=True):
@@ -251,6 +279,7 @@ def _cross(members: DataFrame) -> DataFrame:
                 if len(j):
                     same = (sk[j] == sk[i]).reshape(len(j), BANDS, ROWS).all(2)
                     j = j[same.argmax(1) == band[i]]
+                    j = j[deep_similarity(deep[j], deep[i]) >= DEEP_FLOOR]
                     out += [(min(key[i], key[x]), max(key[i], key[x])) for x in j]
         a, b = zip(*out, strict=True) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
@@ -269,7 +298,8 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     star = materialise(shared.where("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b")).distinct(), "mh-star")
     members = materialise(shared.select("key").distinct().join(classes, "key"), "mh-members")
     need = members.select(F.col("low").alias("_low"), F.col("key").alias("_key"))
-    sets = docs.join(need.select("_low").distinct(), F.col("doc_id").eqNullSafe(F.col("_low")), "left_semi").select("text").mapInArrow(_sets, "key binary, members binary")
+    ids = need.select("_low").distinct()
+    sets = prefilter(docs, "doc_id", ids, "_low").join(ids, F.col("doc_id").eqNullSafe(F.col("_low")), "left_semi").select("text").mapInArrow(_sets, "key binary, members binary, deep binary")
     sets = materialise(sets.join(need.select(F.col("_key").alias("key")), "key", "left_semi").dropDuplicates(["key"]), "mh-sets")
 
     side = members.select("key", "n", "sketch")
@@ -283,11 +313,13 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
                 yield x.select(["a", "b"]).filter(pa.array(keep))
 
     links = materialise(verify(materialise(wide.mapInArrow(likely, "a binary, b binary"), "mh-likely"), sets), "mh-links")
-    roots = materialise(components(links), "mh-roots")
-    rooted = members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")).drop("low")
-    mixed = materialise(_cross(shared.select("bucket", "band", "key").join(rooted, "key")).join(star, ["a", "b"], "left_anti"), "mh-cross")
+    # near enough to tell most members of a group apart from the rest; the last step settles it
+    roots = materialise(components(links, rounds=1), "mh-roots")
+    rooted = members.select("key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    sketches = side.join(sets.select("key", "deep"), "key")
+    mixed = materialise(_cross(shared.select("bucket", "band", "key").join(rooted, "key"), sketches).join(star, ["a", "b"], "left_anti"), "mh-cross")
     more = verify(mixed, sets)
-    roots = components(roots.select(F.col("key").alias("a"), F.col("root").alias("b")).unionByName(more))
+    roots = components(links.unionByName(more))
     named = classes.select("key", "low").join(materialise(roots, "mh-roots"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     named = materialise(named, "mh-named")
     lows = materialise(named.groupBy("root").agg(F.min("low").alias("component_id")), "mh-lows")
