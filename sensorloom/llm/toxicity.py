@@ -202,7 +202,7 @@ def score(df: DataFrame, lexicon: Lexicon, text_col: str = "text", score_col: st
         for batch in texts:
             yield pd.Series([lexicon.score(*lexicon.measure(a, t)) for t in batch], dtype="float64")
 
-    udf = F.pandas_udf(rate, "double", F.PandasUDFType.SCALAR_ITER)
+    udf = F.pandas_udf(rate, "double")
     return df.withColumn(score_col, udf(F.coalesce(F.col(text_col), F.lit(""))))
 
 
