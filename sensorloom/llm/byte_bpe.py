@@ -4,7 +4,7 @@ Tier one: the vocabulary's byte strings lie in the slots of a minimal perfect ha
 pre-tokens are hashed together, and those whose slot holds the same bytes are done. Tier two: a miss is
 merged over a doubly linked list of its bytes with a heap of (rank, position), so each merge costs
 O(log n) however long the pre-token. Pre-tokens are the matches of the published pattern;
-the results for those met before are kept in each worker, up to ``MEMO_PIECES`` of them.
+the results for those met before are kept in each worker, two generations of up to ``MEMO_PIECES``.
 
 Defined results: null and empty texts have no ids and decode to the empty string; lone surrogates can't
 occur in Spark's strings; repeated rows give repeated results; an empty table gives an empty result.
@@ -23,10 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import id_and_text, table
+from .memo import Memo
 from .mph import MinimalPerfectHash, fold_bytes
 
-#: Pre-tokens whose ids a Python worker keeps (about 120 MB); then it starts anew.
-MEMO_PIECES = 500_000
+#: Pre-tokens of a generation that a Python worker keeps; two take about 140 MB.
+MEMO_PIECES = 300_000
 
 
 def default_ranks() -> str:
@@ -62,7 +63,7 @@ class ByteBpe:
         for i, w in zip(ids.tolist(), words, strict=True):
             self.bytes_of[i] = w
         self.rank = {w: i for w, i in zip(words, ids.tolist(), strict=True)}
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(self.learn, MEMO_PIECES)
 
     def whole(self, tokens: list[bytes]) -> list[int]:
         """The ids of tokens that are in the vocabulary as a whole, else -1."""
@@ -101,13 +102,7 @@ class ByteBpe:
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit integers."""
-        pieces, memo = self.pattern.findall(text), self.memo
-        if missing := {p for p in pieces if p not in memo}:
-            if len(memo) + len(missing) > MEMO_PIECES:
-                memo.clear()
-                missing = set(pieces)
-            memo.update(self.learn(missing))
-        return b"".join(map(memo.__getitem__, pieces))
+        return self.memo.join(self.pattern.findall(text))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
