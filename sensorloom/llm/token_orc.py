@@ -28,10 +28,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import id_and_text, new_path, partitions, table
+from .memo import Memo
 
 END_ID = 1
-#: Pre-tokens whose ids a Python worker keeps (about 130 MB); then it starts anew.
-MEMO_WORDS = 600_000
+#: Pre-tokens of a generation that a Python worker keeps; two take about 140 MB.
+MEMO_WORDS = 300_000
 ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "compression": "zstd"}
 SCHEMA = "doc_id long, part int, first long, ids array<int>"
 
@@ -55,7 +56,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
         self.plain = _is_plain(definition)
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(self.learn, MEMO_WORDS)
 
     def cut(self, text: str) -> list[str]:
         if self.plain:
@@ -68,15 +69,14 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
-        parts, memo = self.cut(text), self.memo
-        if missing := {w for w in parts if w not in memo}:
-            if len(memo) + len(missing) > MEMO_WORDS:
-                memo.clear()
-                missing = set(parts)
-            for some in batched(missing, 10_000):
-                found = self.tokenizer.encode_batch_fast(list(some), add_special_tokens=False)
-                memo.update((w, pack(f"<{len(ids := e.ids)}I", *ids)) for w, e in zip(some, found, strict=True))
-        return b"".join(map(memo.__getitem__, parts))
+        return self.memo.join(self.cut(text))
+
+    def learn(self, parts: set[str]) -> dict[str, bytes]:
+        out = {}
+        for some in batched(parts, 10_000):
+            found = self.tokenizer.encode_batch_fast(list(some), add_special_tokens=False)
+            out |= {w: pack(f"<{len(ids := e.ids)}I", *ids) for w, e in zip(some, found, strict=True)}
+        return out
 
 
 #: Latin-1 without control characters and the spaces beyond ASCII, whose classes libraries disagree on.
