@@ -21,7 +21,8 @@ MIX_SHARE = 0.9
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under one half."""
     lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, lexicon, score_col="_score").where("_score < 0.5").drop("_score")
+    own = "_score" + "_" * max(map(len, docs.columns), default=0)  # no column of the input has so long a name
+    return toxicity.score(docs, lexicon, score_col=own).where(F.col(own) < 0.5).drop(own)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
