@@ -40,7 +40,7 @@ ROWS, BANDS = 7, 32
 REGISTERS = ROWS * BANDS
 BASE = 1.001
 FLOOR = 0.75
-DEEP, DEEP_FLOOR = 1024, 0.80
+DEEP, DEEP_FLOOR = 2048, 0.815
 #: Rows of a bucket in one block, and pairs verified in one group, about.
 BLOCK = 512
 PAIRS = 2000
@@ -106,8 +106,8 @@ def sketch(s: np.ndarray) -> np.ndarray:
 def deep_sketch(s: np.ndarray) -> np.ndarray:
     """Four bits of the minimum of each further register, two a byte."""
     low = np.full(DEEP, np.iinfo(np.uint64).max, np.uint64)
-    for lo in range(0, len(s), 128):
-        np.minimum(low, (s[lo : lo + 128, None] * _DEEP_MUL + _DEEP_ADD).min(0), out=low)
+    for lo in range(0, len(s), 64):
+        np.minimum(low, (s[lo : lo + 64, None] * _DEEP_MUL + _DEEP_ADD).min(0), out=low)
     four = (_mixed(low) >> np.uint64(60)).astype(np.uint8)
     return four[::2] << 4 | four[1::2]
 
