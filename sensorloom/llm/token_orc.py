@@ -31,8 +31,8 @@ from ._common import id_and_text, new_path, partitions, table
 from .memo import Memo
 
 END_ID = 1
-#: Pre-tokens of a generation that a Python worker keeps; two take about 140 MB.
-MEMO_WORDS = 300_000
+#: Pre-tokens of a generation that a Python worker keeps; two take about 260 MB.
+MEMO_WORDS = 600_000
 ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "compression": "zstd"}
 SCHEMA = "doc_id long, part int, first long, ids array<int>"
 
@@ -73,7 +73,12 @@ class WordEncoder:
 
     def learn(self, parts: set[str]) -> dict[str, bytes]:
         out = {}
-        for some in batched(parts, 10_000):
+        if self.plain:  # one pre-token each: the library's model alone, on its letters for bytes
+            model, letters = self.tokenizer.model, BYTE_LETTERS
+            for p in filter(_is_single, parts):
+                found = model.tokenize(p if p.isascii() else "".join(map(letters.__getitem__, p.encode())))
+                out[p] = pack(f"<{len(found)}I", *[t.id for t in found])
+        for some in batched(parts - out.keys(), 10_000):
             found = self.tokenizer.encode_batch_fast(list(some), add_special_tokens=False)
             out |= {w: pack(f"<{len(ids := e.ids)}I", *ids) for w, e in zip(some, found, strict=True)}
         return out
@@ -83,11 +88,23 @@ class WordEncoder:
 PLAIN_BYTES = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xA1, 0x100)])
 #: The definition's own pattern on lower-cased plain texts.
 PLAIN_CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\s0-9a-z\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+")
+#: The letters that byte-level models write for bytes: visible Latin-1 as itself, the rest from U+0100 on.
+_SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_LETTERS = [chr(b) if b in _SEEN else chr(256 + sum(c not in _SEEN for c in range(b))) for b in range(256)]
 #: The steps of a definition that PLAIN_CUT stands for.
 PLAIN_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+def _is_single(part: str) -> bool:
+    """Whether a part is one pre-token of a plain text, already lower-cased."""
+    try:
+        plain = not part.encode("latin-1").translate(None, PLAIN_BYTES)
+    except UnicodeEncodeError:
+        return False
+    return plain and part == part.lower() and PLAIN_CUT.fullmatch(part) is not None
+
+
 def _is_plain(definition: str) -> bool:
     d = json.loads(definition)
     steps, cuts = ((d.get(k) or {}).get(v, []) for k, v in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
