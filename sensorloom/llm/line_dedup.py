@@ -1,8 +1,10 @@
 """Line dedup by winnowing over line hashes.
 
 A document is a sequence of line hashes. Of every window of ``WINDOW`` consecutive lines the smallest
-hash, rightmost of equals, is a fingerprint (of a shorter document, its only window's), so two places
-that share ``WINDOW`` lines in a row share a fingerprint in them. A fingerprint is keyed with its
+hash, rightmost of equals, is a fingerprint (of a shorter document, its only window's), and so is every
+long line, of ``LONG_WORDS`` words or ``LONG_CHARS`` characters. So two places that share ``WINDOW`` lines
+in a row, or a long line, share a fingerprint in them: a repeat of over 50 words in whole lines is found
+however few lines it has; only a lone short line is left to chance. A fingerprint is keyed with its
 neighbours: alone, and with 1 .. WINDOW-1 lines to the right and to the left. The first place of each
 key, in the order of (doc_id, position), is joined back; a later place has its match extended line by
 line as far as the longer keys have an earlier place too. Runs of matched lines are then deleted.
@@ -22,7 +24,10 @@ from pyspark.sql import functions as F
 
 from ._common import WHITE_SPACE, id_and_text, materialise, table
 
-WINDOW = 4
+WINDOW = 2
+#: A line of so many words, or of so many characters in scripts without spaces, is always a fingerprint.
+LONG_WORDS = 8
+LONG_CHARS = 80
 
 
 def line_hashes(text: Column) -> Column:
@@ -34,8 +39,21 @@ def line_hashes(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), one)
 
 
+def long_lines(text: Column) -> Column:
+    """An array of the positions of the long lines."""
+    def place(x: Column, i: Column) -> Column:
+        bare = F.trim(x, F.lit(WHITE_SPACE))
+        many = bare.rlike(rf"(?:[ \t\x0B\f\r]+[^ \t\x0B\f\r]+){{{LONG_WORDS - 1}}}")
+        return F.when((F.length(bare) >= LONG_CHARS) | many, i)
+
+    return F.array_compact(F.transform(F.split(text, "\n"), place))
+
+
 def fingerprints(lines: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, doc_hash, pos, key, step): step 0 is the fingerprint alone, +e and -e with e further lines."""
+    """(doc_id, doc_hash, pos, key, step): step 0 is the fingerprint alone, +e and -e with e further lines.
+
+    ``lines`` has doc_id, doc_hash, the line hashes ``h`` and the positions of the ``long`` lines.
+    """
     n = F.size("h")
     last = F.greatest(F.lit(0), n - window)
 
@@ -43,7 +61,7 @@ def fingerprints(lines: DataFrame, window: int = WINDOW) -> DataFrame:
         part = F.transform(F.slice("h", i + 1, window), lambda x, k: F.struct((x == 0).alias("blank"), x.alias("x"), (-k - i).alias("neg")))
         return -F.array_min(part).getField("neg")
 
-    places = F.array_distinct(F.transform(F.sequence(F.lit(0), last), pick))
+    places = F.array_union(F.transform(F.sequence(F.lit(0), last), pick), F.col("long"))
     rows = lines.where(n > 0).select("doc_id", "doc_hash", "h", F.explode(places).alias("pos")).where(F.get("h", F.col("pos")) != 0)
     steps = F.array(*[F.lit(e) for e in range(-window + 1, window)])
     rows = rows.select("doc_id", "doc_hash", "h", "pos", F.explode(steps).alias("step"))
@@ -57,7 +75,7 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ``first_doc_id`` holds the first place of the run's first fingerprint.
     """
-    docs = id_and_text(df, id_col, text_col).select("doc_id", F.xxhash64("text").alias("doc_hash"), line_hashes(F.col("text")).alias("h"))
+    docs = id_and_text(df, id_col, text_col).select("doc_id", F.xxhash64("text").alias("doc_hash"), line_hashes(F.col("text")).alias("h"), long_lines(F.col("text")).alias("long"))
     places = materialise(fingerprints(docs, window), "line-places")
     at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc_hash", "pos")
     firsts = materialise(places.groupBy("key").agg(F.min(at).alias("at"), F.max(at).alias("end")).where("at < end").select("key", "at"), "line-firsts")

@@ -212,3 +212,27 @@ def test_lines_against_brute_force(spark, edge, nothing):
     assert line_dedup.repeated_lines(nothing).count() == 0
     out = line_dedup.clean(edge)
     assert out.columns == [*edge.columns, "n_deleted"] and out.count() == edge.count()
+
+
+@pytest.mark.parametrize("n_lines", [1, 2, 3])
+def test_lines_find_passages_of_few_lines(spark, n_lines):
+    rng = random.Random(n_lines)
+    own = lambda: [prose(rng, rng.randint(3, 30)) for _ in range(rng.randint(2, 6))]
+    rows, want = [], set()
+    for i in range(100):
+        passage = [prose(rng, -(-51 // n_lines)) for _ in range(n_lines)]
+        rows.append((2 * i, "\n".join(own() + passage + own())))
+        before = own()
+        rows.append((2 * i + 1, "\n".join(before + passage + own())))
+        want |= {(2 * i + 1, len(before) + k) for k in range(n_lines)}
+    runs = line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = {(r["doc_id"], r["first_line"] + k) for r in runs for k in range(r["n_lines"])}
+    assert want <= got
+
+
+def test_lines_without_spaces_and_short_pairs(spark):
+    rng = random.Random(5)
+    long, pair = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(90)), "so it\ngoes on"
+    rows = [(i, "\n".join([prose(rng, 5), x, prose(rng, 6)])) for i, x in enumerate([long, pair] * 20)]
+    runs = line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["first_line"], r["n_lines"]) for r in runs} == {(i, 1, 1 + i % 2) for i in range(2, 40)}
