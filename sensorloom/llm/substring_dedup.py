@@ -1,13 +1,14 @@
 """Substring dedup by content-defined chunks of a gear rolling hash.
 
 The hash of a place covers the 16 bytes before it: h = (h << 1) + gear[byte] in 16 bits, so a byte is
-shifted out after 16 steps. Places whose hash has its ``CUT_BITS`` upper bits zero are candidates; one
-that follows another within ``MIN_BYTES`` is none. Stretches of over ``MAX_BYTES`` are cut further at
-multiples of it from their start. All of it depends on nearby bytes only, so chunks come back in step
-soon after an insertion. Chunks are deduplicated by their 128-bit digests: the first place of a digest,
-in the order of (doc_id, position), is kept, all later ones are repeats. Neighbouring repeated chunks
-form a span; spans of at least ``MIN_WORDS`` words are removed, shorter ones are the chance repeats of
-ordinary prose.
+shifted out after 16 steps. Texts are cut by winnowing: at the smallest hash, rightmost of equals, of every
+``WINDOW`` places in a row. So a cut depends on nearby bytes only, none is further than ``WINDOW`` bytes
+from the next, and a repeated passage shares all its cuts but those in its first ``WINDOW`` + 15 and last
+``WINDOW`` bytes. Only a run of one byte is cut at its first such place, then at multiples of ``MAX_BYTES``.
+Chunks are deduplicated by their 128-bit digests: the
+first place of a digest, in the order of (doc_id, position), is kept, all later ones are repeats.
+Neighbouring repeated chunks form a span; spans of at least ``MIN_WORDS`` words are removed, shorter ones
+are the chance repeats of ordinary prose.
 
 Defined results: null text counts as empty and has no chunks; a null doc_id comes last; rows that repeat
 doc_id and text are the same document; extra columns are kept by ``clean``; an empty table gives an
@@ -25,12 +26,13 @@ from pyspark.sql import functions as F
 
 from ._common import WHITE_SPACE, id_and_text, materialise, table
 
-CUT_BITS = 5
-MIN_BYTES = 16
+WINDOW = 64
 MAX_BYTES = 128
-#: A repeated passage of 50 words loses its first and last partial chunk, at most 2 * MAX_BYTES bytes.
+#: A repeated passage loses its first and last partial chunk, 2 * WINDOW + 15 = 143 bytes at most and half of
+#: it on average; of 51 words 24 are left for sure if the 27 words at the ends have that many bytes.
 MIN_WORDS = 24
-CHUNKS = "doc_id long, doc_hash long, n long, start long, size int, words int, d1 long, d2 long"
+#: ``place`` packs a chunk's start, size and words, in this order, so that rows stay narrow in the shuffles.
+CHUNKS = "doc_id long, doc_hash long, place long, d1 long, d2 long"
 
 #: The gear: a 16-bit number for each byte, from a fixed seed.
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 16, 256, dtype=np.uint16)
@@ -48,8 +50,16 @@ def cuts(data: np.ndarray) -> np.ndarray:
         more = h.copy()
         more[step:] += h[:-step] << np.uint16(step)
         h, step = more, step * 2
-    at = np.flatnonzero(h >> np.uint16(16 - CUT_BITS) == 0) + 1
-    at = at[np.diff(at, prepend=-MIN_BYTES) >= MIN_BYTES]
+    # hash and place in one number: the smallest of a window is the rightmost of its smallest hashes
+    low = (h.astype(np.int64) << 40) - np.arange(n)
+    step = 1
+    while step < WINDOW:  # the smallest of step places in a row, from two that overlap or meet
+        more = min(step, WINDOW - step)
+        low = np.minimum(low[:-more], low[more:])
+        step += more
+    at = np.unique(-low & ((1 << 40) - 1))
+    again = np.flatnonzero((np.diff(at) == 1) & (h[at[1:]] == h[at[:-1]])) + 1
+    at = np.delete(at, again) + 1
     ends = np.append(at[at < n], n)
     starts = np.concatenate(([0], ends[:-1]))
     more = (ends - starts - 1) // MAX_BYTES  # further cuts of a long stretch
@@ -65,7 +75,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for lo in range(0, len(b), 128):
-            ids, hashes, counts, starts, sizes, words, digests = [], [], [], [], [], [], []
+            ids, hashes, counts, places, digests = [], [], [], [], []
             some = b.slice(lo, 128)
             for i in range(len(some)):
                 raw = some.column(1)[i].as_py().encode()
@@ -78,9 +88,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digests += [digest(view[x:y]) for x, y in zip(begins.tolist(), ends.tolist(), strict=True)]
                 space = _SPACE[data]
                 word = np.concatenate((~space[:1], ~space[1:] & space[:-1]))  # where words begin
-                words.append(np.add.reduceat(word, begins, dtype=np.int32))
-                starts.append(begins)
-                sizes.append(ends - begins)
+                words = np.add.reduceat(word, begins, dtype=np.int64)
+                places.append(begins << 16 | (ends - begins) << 8 | words)
                 counts.append(len(ends))
                 ids.append(some.column(0)[i].as_py())
                 hashes.append(xxh3_64_intdigest(raw))
@@ -91,13 +100,12 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             two = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([
                 pa.array(ids, pa.int64()).take(pa.array(each)), pa.array(np.array(hashes, np.uint64).view(np.int64)[each]),
-                pa.array(np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)), pa.array(np.concatenate(starts)),
-                pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(words).astype(np.int32)), pa.array(two[:, 0]), pa.array(two[:, 1]),
-            ], ["doc_id", "doc_hash", "n", "start", "size", "words", "d1", "d2"])
+                pa.array(np.concatenate(places)), pa.array(two[:, 0]), pa.array(two[:, 1]),
+            ], ["doc_id", "doc_hash", "place", "d1", "d2"])
 
 
 def chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, doc_hash, n, start, size, words, d1, d2) of each chunk; start and size in UTF-8 bytes."""
+    """(doc_id, doc_hash, place, d1, d2) of each chunk; start and size in UTF-8 bytes."""
     return id_and_text(df, id_col, text_col).mapInArrow(_chunks, CHUNKS)
 
 
@@ -105,13 +113,14 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, doc_hash, keep_doc_id, start, n_bytes, n_words) of each span to be removed; ``keep_doc_id``
     holds the first place of the span's first chunk."""
     all_chunks = materialise(chunks(df, id_col, text_col), "chunks")
-    at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc_hash", "n")
-    firsts = materialise(all_chunks.groupBy("d1", "d2").agg(F.min(at).alias("at"), F.max(at).alias("end")).where("at < end").select("d1", "d2", "at"), "chunk-firsts")
-    later = all_chunks.join(firsts, ["d1", "d2"]).where(at > F.col("at")).select("doc_id", "doc_hash", "n", "start", "size", "words", F.col("at.doc_id").alias("keep_doc_id")).distinct()
-    # rows of one document; neighbours have n - row_number in common
-    own = Window.partitionBy("doc_id", "doc_hash").orderBy("n")
-    spans = later.withColumn("run", F.col("n") - F.row_number().over(own)).groupBy("doc_id", "doc_hash", "run").agg(
-        F.min_by("keep_doc_id", "n").alias("keep_doc_id"), F.min("start").alias("start"), F.sum("size").alias("n_bytes"), F.sum("words").alias("n_words"))
+    at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc_hash", "place")
+    firsts = materialise(all_chunks.groupBy("d1", "d2").agg(F.min(at).alias("at"), F.count("*").alias("places")).where("places > 1").select("d1", "d2", "at"), "chunk-firsts")
+    later = all_chunks.join(firsts, ["d1", "d2"]).where(at > F.col("at")).select("doc_id", "doc_hash", "place", F.col("at.doc_id").alias("keep_doc_id")).distinct()
+    later = later.select("doc_id", "doc_hash", "keep_doc_id", F.shiftright("place", 16).alias("start"), F.shiftright("place", 8).bitwiseAND(255).alias("size"), F.col("place").bitwiseAND(255).alias("words"))
+    # rows of one document; neighbours have the bytes before them that aren't repeats in common
+    own = Window.partitionBy("doc_id", "doc_hash").orderBy("start")
+    spans = later.withColumn("run", F.col("start") + F.col("size") - F.sum("size").over(own)).groupBy("doc_id", "doc_hash", "run").agg(
+        F.min_by("keep_doc_id", "start").alias("keep_doc_id"), F.min("start").alias("start"), F.sum("size").alias("n_bytes"), F.sum("words").alias("n_words"))
     return spans.where(F.col("n_words") >= min_words).drop("run")
 
 

@@ -147,6 +147,14 @@ def test_substring_finds_passages(spark, edge, nothing):
     assert out.columns == [*edge.columns, "n_removed"] and out.count() == edge.count()
 
 
+def test_substring_finds_every_short_passage(spark):
+    rng = random.Random(7)
+    passages = [prose(rng, 51) for _ in range(300)] + [" ".join([prose(rng, 1)] * 25 + [prose(rng, 1)] * 26) for _ in range(40)]
+    rows = [(i, f"{prose(rng, rng.randint(1, 90))} {passages[i // 2]} {prose(rng, rng.randint(1, 90))}") for i in range(2 * len(passages))]
+    spans = substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {s["doc_id"] for s in spans} >= set(range(1, len(rows), 2))
+
+
 def test_substring_against_brute_force(spark):
     rng = random.Random(6)
     parts = [prose(rng, 40) for _ in range(12)]
