@@ -11,8 +11,9 @@ only comes with a copied passage always follows the same word. Word beginnings s
 terms. Labels of held-out rows are never read; lang, source and doc_id are no inputs.
 
 Defined results: null and empty texts score as texts without a match; rows without a doc_id are not
-learned from; without toxic labels every score is ``DEFAULT_SCORE``; labels that repeat a doc_id or
-contradict each other count each; an empty table gives an empty result.
+learned from; without toxic labels, or with too few of them for any term, every score is
+``DEFAULT_SCORE``; a text without a match is never toxic; labels that repeat a doc_id or contradict each
+other count each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ MIN_GAIN = 30.0
 MIN_PURITY = 0.9
 PREFIXES = range(4, 9)
 DEFAULT_SCORE = 0.01
+#: The curve's shift, at most: a text without a match scores under one half.
+MAX_SHIFT = -0.01
 #: Look-alike letters and the Latin letters they stand for.
 LOOK_ALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "к": "k", "м": "m", "т": "t", "н": "h", "в": "b", "α": "a", "ε": "e", "ο": "o", "ρ": "p", "ν": "v", "τ": "t", "ι": "i", "κ": "k", "υ": "u"}
 #: Digits and signs written for letters inside words.
@@ -155,6 +158,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, la
     found = pure.where(F.col("gain") >= MIN_GAIN).orderBy(F.desc("gain"), "term", "kind").limit(MAX_TERMS).collect()
     best = {r["term"] + "*" * (r["kind"] == "*"): (r["t"], math.log((r["t"] + 0.5) / n_toxic) - math.log((r["c"] + 0.5) / n_clean)) for r in found}
     lexicon = Lexicon({k: w for k, (_, w) in best.items() if w > 0})
+    if not lexicon.terms:
+        return Lexicon()
     # exceptions: phrases round a lexicon word that clean rows have and toxic rows don't
     plain = [k for k in lexicon.terms if not k.endswith("*")]
     if plain:
@@ -192,6 +197,7 @@ def _fit(lexicon: Lexicon, texts: DataFrame) -> None:
         loss = -(share * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum()
         if loss < best - 1e-12:
             best, lexicon.power, lexicon.shift, lexicon.slope = loss, power, float(ab[0]), float(ab[1])
+    lexicon.shift = min(lexicon.shift, MAX_SHIFT)
 
 
 def score(df: DataFrame, lexicon: Lexicon, text_col: str = "text", score_col: str = "score") -> DataFrame:

@@ -151,6 +151,22 @@ def test_toxicity_learns_and_leaves_clean_rows(spark, edge, nothing):
     assert toxicity.learn(nothing, own).terms == {} and toxicity.score(nothing, toxicity.Lexicon()).count() == 0
 
 
+def test_toxicity_with_few_labels_drops_nothing(spark):
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(["ba", "cedo", "figu", "scumlord"]) for _ in range(20)) if i % 9 else "") for i in range(60)], "doc_id long, text string")
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]  # those that may be learned from
+    for n in (1, 2, 3):
+        labels = spark.createDataFrame([(i, int(k < n)) for k, i in enumerate(ids)], "doc_id long, toxic int")
+        lexicon = toxicity.learn(docs, labels)
+        assert lexicon == toxicity.Lexicon() and {round(r["score"], 9) for r in toxicity.score(docs, lexicon).collect()} == {toxicity.DEFAULT_SCORE}
+
+
+def test_toxicity_of_a_text_without_a_match(spark):
+    lexicon = toxicity.Lexicon({"vex": 1.0})
+    toxicity._fit(lexicon, spark.createDataFrame([("vex a", 0), ("b vex", 0), ("c", 1), ("d e", 1)], "text string, label int"))
+    assert lexicon.score(0.0, 1) < 0.5
+
+
 def test_toxicity_rules():
     x = toxicity.Lexicon({"trash": 3.0, "vex*": 2.0}, {"trash bin"})
     a = x.automaton()
