@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space, [\x20\x09-\x0D]; a fixed value of the contracts.
@@ -15,9 +15,12 @@ WHITE_SPACE = " \t\n\x0b\x0c\r"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode alone, where it may be
+    unset, a temporary one; on a cluster no other machine could see that."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="sensorloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -55,6 +58,48 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def partitions_for(df: DataFrame, target_bytes: int = 256 << 20) -> int:
+    """As many partitions as the session asks for, or more where a part of the input, as the planner sizes it, would be over ``target_bytes``."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size if size < 1 << 60 else 0  # the planner's way to say that it doesn't know
+    return max(partitions(df.sparkSession), -(-known // target_bytes))
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, lengthened until none is among ``columns``, however they are spelt."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def text_hash(text: Column) -> Column:
+    """64 bits of a text, null as empty; beside a doc_id it names a row's content."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def one_row_each(df: DataFrame, won: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``df``, all columns as they are, for each row of ``won`` (doc_id, text_hash, rows).
+
+    ``won`` is a written table without repeats; ``rows`` counts the rows of ``df`` with that id and text. Where
+    it is 1, which it is for all but repeated rows, a semi-join does; the others are ranked.
+    """
+    key, own, n, nth, salt = fresh(df.columns, "_key", "_own", "_rows", "_nth", "_salt")
+    won = won.select(F.col("doc_id").alias(key), F.col("text_hash").alias(own), F.col("rows").alias(n))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (text_hash(F.col(text_col)) == F.col(own))
+    out = df.join(won.where(F.col(n) == 1), same, "left_semi")
+    if won.where(F.col(n) > 1).isEmpty():
+        return out
+    # a row repeated very often is one key: a row a task is left before the shuffle that ranks them
+    again = df.join(won.where(F.col(n) > 1), same).withColumn(salt, F.spark_partition_id())
+    for groups in ([key, own, salt], [key, own]):
+        again = again.withColumn(nth, F.row_number().over(Window.partitionBy(*groups).orderBy(F.lit(0)))).where(F.col(nth) == 1)
+    return out.unionByName(again.drop(key, own, n, nth, salt))
+
+
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (doc_id, text), null text as empty: further columns, whatever their names, can't clash."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
