@@ -7,8 +7,9 @@ from the next, and a repeated passage shares all its cuts but those in its first
 ``WINDOW`` bytes. Only a run of one byte is cut at its first such place, then at multiples of ``MAX_BYTES``.
 Chunks are deduplicated by their 128-bit digests: the
 first place of a digest, in the order of (doc_id, position), is kept, all later ones are repeats.
-Neighbouring repeated chunks form a span; spans of at least ``MIN_WORDS`` words are removed, shorter ones
-are the chance repeats of ordinary prose.
+Neighbouring repeated chunks form a span if one earlier text holds ``MIN_CORE`` of its words, at its ends too,
+in the same order and distance; spans of at least ``MIN_WORDS`` words are removed. Shorter ones, and rows of
+chunks whose first places lie in different texts, are the chance repeats of ordinary prose.
 
 Defined results: null text counts as empty and has no chunks; a null doc_id comes last; rows that repeat
 doc_id and text are the same document; extra columns are kept by ``clean``; an empty table gives an
@@ -24,13 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import WHITE_SPACE, id_and_text, materialise, table
+from ._common import WHITE_SPACE, fresh, id_and_text, materialise, table
 
 WINDOW = 64
 MAX_BYTES = 128
 #: A repeated passage loses its first and last partial chunk, 2 * WINDOW + 15 = 143 bytes at most and half of
 #: it on average; of 51 words 24 are left for sure if the 27 words at the ends have that many bytes.
 MIN_WORDS = 24
+#: Words of a span, at least, whose chunks have their first places in one text, at one distance from the span.
+#: Its other chunks lie between those: they are repeats too, but chance put their first places elsewhere.
+MIN_CORE = 16
 #: ``place`` packs a chunk's start, size and words, in this order, so that rows stay narrow in the shuffles.
 CHUNKS = "doc_id long, doc_hash long, place long, d1 long, d2 long"
 
@@ -109,17 +113,30 @@ def chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return id_and_text(df, id_col, text_col).mapInArrow(_chunks, CHUNKS)
 
 
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_core: int = MIN_CORE) -> DataFrame:
     """(doc_id, doc_hash, keep_doc_id, start, n_bytes, n_words) of each span to be removed; ``keep_doc_id``
     holds the first place of the span's first chunk."""
     all_chunks = materialise(chunks(df, id_col, text_col), "chunks")
     at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc_hash", "place")
     firsts = materialise(all_chunks.groupBy("d1", "d2").agg(F.min(at).alias("at"), F.count("*").alias("places")).where("places > 1").select("d1", "d2", "at"), "chunk-firsts")
-    later = all_chunks.join(firsts, ["d1", "d2"]).where(at > F.col("at")).select("doc_id", "doc_hash", "place", F.col("at.doc_id").alias("keep_doc_id")).distinct()
-    later = later.select("doc_id", "doc_hash", "keep_doc_id", F.shiftright("place", 16).alias("start"), F.shiftright("place", 8).bitwiseAND(255).alias("size"), F.col("place").bitwiseAND(255).alias("words"))
+    start = F.shiftright("place", 16)
+    later = all_chunks.join(firsts, ["d1", "d2"]).where(at > F.col("at")).select(
+        "doc_id", "doc_hash", F.col("at.doc_id").alias("keep_doc_id"), start.alias("start"), F.shiftright("place", 8).bitwiseAND(255).alias("size"), F.col("place").bitwiseAND(255).alias("words"),
+        F.xxhash64("at.doc_hash", "at.doc_id").alias("text"), F.shiftright("at.place", 16).alias("from"),
+    ).distinct()
     # rows of one document; neighbours have the bytes before them that aren't repeats in common
-    own = Window.partitionBy("doc_id", "doc_hash").orderBy("start")
-    spans = later.withColumn("run", F.col("start") + F.col("size") - F.sum("size").over(own)).groupBy("doc_id", "doc_hash", "run").agg(
+    doc = ["doc_id", "doc_hash"]
+    own = Window.partitionBy(*doc).orderBy("start")
+    later = later.withColumn("run", F.col("start") + F.col("size") - F.sum("size").over(own))
+    # of a run, what one other text holds at one distance counts; from its first chunk there to its last goes
+    # a chunk that a text repeats counts by its own first place, so that periodic text has one distance too
+    distance = F.min("start").over(Window.partitionBy(*doc, "text", "from")) - F.col("from")
+    later = later.withColumn("distance", distance)
+    same = Window.partitionBy(*doc, "run", "text", "distance")
+    later = later.withColumns({"held": F.sum("words").over(same), "hi": F.max("start").over(same)})
+    reach = F.max(F.when(F.col("held") >= min_core, F.col("hi"))).over(Window.partitionBy(*doc, "run").orderBy("start"))
+    gone = later.withColumn("reach", reach).where(F.col("reach") >= F.col("start"))
+    spans = gone.withColumn("run", F.col("start") + F.col("size") - F.sum("size").over(own)).groupBy(*doc, "run").agg(
         F.min_by("keep_doc_id", "start").alias("keep_doc_id"), F.min("start").alias("start"), F.sum("size").alias("n_bytes"), F.sum("words").alias("n_words"))
     return spans.where(F.col("n_words") >= min_words).drop("run")
 
@@ -131,8 +148,9 @@ def clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_wor
     """
     import xxhash
 
+    key, own, theirs, found = fresh([*df.columns, "n_removed"], "_id", "_own", "_hash", "_spans")
     spans = repeated_spans(df, id_col, text_col, min_words)
-    gone = materialise(spans.groupBy("doc_id", "doc_hash").agg(F.sort_array(F.collect_list(F.struct("start", "n_bytes"))).alias("_spans")).select(F.col("doc_id").alias("_id"), F.col("doc_hash").alias("_hash"), "_spans"), "chunk-gone")
+    gone = materialise(spans.groupBy("doc_id", "doc_hash").agg(F.sort_array(F.collect_list(F.struct("start", "n_bytes"))).alias(found)).select(F.col("doc_id").alias(key), F.col("doc_hash").alias(theirs), found), "chunk-gone")
 
     @F.pandas_udf("long")
     def text_hash(texts):
@@ -158,11 +176,11 @@ def clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_wor
 
         return pd.Series([one(t, f) for t, f in zip(texts, spans, strict=True)])
 
-    names = df.columns
-    keyed = df.withColumn("_own", text_hash(F.coalesce(F.col(text_col), F.lit(""))))
-    rows = keyed.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
-    removed = F.coalesce(F.aggregate("_spans", F.lit(0).cast("long"), lambda s, x: s + x["n_bytes"]), F.lit(0).cast("long"))
-    new = {text_col: cut(F.col(text_col), F.col("_spans")), "n_removed": removed}
+    names = [c for c in df.columns if c != "n_removed"]
+    keyed = df.withColumn(own, text_hash(F.coalesce(F.col(text_col), F.lit(""))))
+    rows = keyed.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (F.col(own) == F.col(theirs)), "left")
+    removed = F.coalesce(F.aggregate(found, F.lit(0).cast("long"), lambda s, x: s + x["n_bytes"]), F.lit(0).cast("long"))
+    new = {text_col: cut(F.col(text_col), F.col(found)), "n_removed": removed}
     return rows.withColumns(new).select(*names, "n_removed")
 
 
