@@ -18,33 +18,34 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WHITE_SPACE, id_and_text, materialise, partitions, table
+from ._common import WHITE_SPACE, id_and_text, materialise, one_row_each, partitions, table
 from .mph import MinimalPerfectHash
 
 #: About as many distinct digests a bucket; bounds the memory of a build or lookup task.
 BUCKET_KEYS = 200_000
-BEST = "struct<n_chars:int,neg_id:bigint,neg_row:bigint>"
-_BEST = pa.struct([("n_chars", pa.int32()), ("neg_id", pa.int64()), ("neg_row", pa.int64())])
+BEST = "struct<n_chars:int,not_id:bigint,not_row:bigint>"
+_BEST = pa.struct([("n_chars", pa.int32()), ("not_id", pa.int64()), ("not_row", pa.int64())])
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, digest, n_chars) of each row; ``row`` tells repeated rows apart once this is written."""
+    """(row, doc_id, digest, n_chars, text_hash) of each row; ``row`` tells repeated rows apart once this is written."""
     bare = F.translate(F.col("text"), WHITE_SPACE, "")
     return id_and_text(df, id_col, text_col).select(
         F.monotonically_increasing_id().alias("row"), "doc_id",
-        F.unhex(F.sha2(bare.cast("binary"), 256)).alias("digest"), F.char_length("text").alias("n_chars"),
+        F.unhex(F.sha2(bare.cast("binary"), 256)).alias("digest"), F.char_length("text").alias("n_chars"), F.xxhash64("text").alias("text_hash"),
     )
 
 
 def groups(rows: DataFrame) -> DataFrame:
     """(digest, best, n) of each distinct digest; map-side combined, so a hot digest costs a row a task.
 
-    ``best`` is the largest of (code points, -doc_id, -row); a null doc_id comes last.
+    ``best`` is the largest of (code points, ~doc_id, ~row), bits inverted so that small ones come first
+    whatever their sign; a null doc_id comes last.
     """
-    best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("neg_id"), (-F.col("row")).alias("neg_row")))
+    best = F.max(F.struct("n_chars", F.bitwise_not("doc_id").alias("not_id"), F.bitwise_not("row").alias("not_row")))
     return rows.groupBy("digest").agg(best.alias("best"), F.count("*").alias("n"))
 
 
@@ -97,7 +98,7 @@ def assign(batch: DataFrame, index: DataFrame, n_buckets: int) -> DataFrame:
 
 def _rank(best: dict) -> tuple:
     low = -(2**63) - 1
-    return best["n_chars"], *(low if best[k] is None else best[k] for k in ("neg_id", "neg_row"))
+    return best["n_chars"], *(low if best[k] is None else best[k] for k in ("not_id", "not_row"))
 
 
 def resolve(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", history_share: int = 2) -> DataFrame:
@@ -119,28 +120,22 @@ def resolve(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", histo
     out = rows.join(repeats, "digest", "left")
     alone = F.col("best").isNull()
     return out.select(
-        "doc_id", F.when(alone, F.col("doc_id")).otherwise(-F.col("best.neg_id")).alias("keep_id"),
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.bitwise_not("best.not_id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        (alone | (F.col("row") == -F.col("best.neg_row"))).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"), F.coalesce("member", F.lit(False)).alias("in_history"), "row",
+        (alone | (F.col("row") == F.bitwise_not("best.not_row"))).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"), F.coalesce("member", F.lit(False)).alias("in_history"), "row", "text_hash",
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns as they are."""
-    won = materialise(resolve(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_won_id"), F.col("text_sha256").alias("_won_sha")), "exact-won")
-    names = docs.columns
-    text = F.translate(F.coalesce(F.col(text_col), F.lit("")), WHITE_SPACE, "").cast("binary")
-    keyed = docs.withColumns({"_own_sha": F.sha2(text, 256), "_own_len": F.char_length(F.coalesce(F.col(text_col), F.lit("")))})
-    kept = keyed.join(won, (F.col("_own_sha") == F.col("_won_sha")) & F.col(id_col).cast("long").eqNullSafe(F.col("_won_id")), "left_semi")
-    if docs.groupBy(id_col).count().where("count > 1").limit(1).count():  # rows that share a doc_id and a text
-        best = Window.partitionBy(id_col, "_own_sha").orderBy(F.desc("_own_len"))
-        kept = kept.withColumn("_nth", F.row_number().over(best)).where("_nth = 1")
-    return kept.select(*names)
+    rows = materialise(resolve(docs, id_col, text_col).select("doc_id", "text_hash", "kept"), "exact-resolved")
+    won = rows.groupBy("doc_id", "text_hash").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).where("kept").drop("kept")
+    return one_row_each(docs, materialise(won, "exact-won"), id_col, text_col)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve(table(spark, sf_dir, "documents")).drop("row", "in_history")
+    return resolve(table(spark, sf_dir, "documents")).drop("row", "in_history", "text_hash")
 
 
 SQL = r"""
