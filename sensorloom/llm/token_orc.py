@@ -6,11 +6,11 @@ read in parallel. The row indexes (minima and maxima every ``orc.row.index.strid
 filters let a reader skip stripes and row groups for a doc_id (``lookup``). Beside the ids a row holds
 its part and its offset within the part; the parts' totals, one row a file, give the global start.
 
-Pre-tokens are encoded once per worker while they are remembered. Special tokens' strings are ordinary
-text.
+Pre-tokens are encoded once per worker while they are remembered. A text with a special token's string in
+it goes to the library whole, which gives it the special token's id.
 
 Defined results: null and empty texts have the end id alone; null doc_ids come first; rows that share a
-doc_id keep an arbitrary order among themselves; an empty table gives an empty folder and result.
+doc_id, null too, keep the order they are read in and may be cut into several ranges; an empty table gives an empty folder and result.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import id_and_text, new_path, partitions, table
+from ._common import id_and_text, new_path, partitions_for, table
 from .memo import Memo
 
 END_ID = 1
@@ -54,7 +54,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
+        # strings that the library finds in a text before it cuts it; they are never longer than a few characters
+        self.added = [t["content"] for t in json.loads(definition).get("added_tokens", [])]
+        self.anywhere = re.compile("|".join(map(re.escape, self.added)), re.IGNORECASE) if self.added else None
         self.plain = _is_plain(definition)
         self.memo = Memo(self.learn, MEMO_WORDS)
 
@@ -69,8 +71,14 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
+        if self.anywhere and self.anywhere.search(text):
+            return self.whole([text])[0]
         return self.memo.join(self.cut(text))
 
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts as the library finds them, special tokens' strings as special tokens."""
+        return [pack(f"<{len(ids := e.ids)}I", *ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def learn(self, parts: set[str]) -> dict[str, bytes]:
         out = {}
         if self.plain:  # one pre-token each: the library's model alone, on its letters for bytes
@@ -79,8 +87,7 @@ class WordEncoder:
                 found = model.tokenize(p if p.isascii() else "".join(map(letters.__getitem__, p.encode())))
                 out[p] = pack(f"<{len(found)}I", *[t.id for t in found])
         for some in batched(parts - out.keys(), 10_000):
-            found = self.tokenizer.encode_batch_fast(list(some), add_special_tokens=False)
-            out |= {w: pack(f"<{len(ids := e.ids)}I", *ids) for w, e in zip(some, found, strict=True)}
+            out |= dict(zip(some, self.whole(list(some)), strict=True))
         return out
 
 
@@ -143,7 +150,9 @@ def write(df: DataFrame, path: str, tokenizer_path: str | None = None, end_id: i
                 ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(raw), "<i4")))
                 yield pa.RecordBatch.from_arrays([some.column(1), some.column(0), pa.array(starts), ids], ["doc_id", "part", "first", "ids"])
 
-    docs = id_and_text(df, id_col, text_col).repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    # the row number cuts ids that very many rows share
+    docs = id_and_text(df, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    docs = docs.repartitionByRange(partitions_for(df), "doc_id", "row").sortWithinPartitions("doc_id", "row")
     rows = docs.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(run, SCHEMA)
     rows.write.options(**ORC_OPTIONS).orc(path)
 
@@ -155,7 +164,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     totals = rows.groupBy("part").agg(F.max(F.col("first") + size).alias("total"))  # one row a file
     upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select("part", F.coalesce(F.sum("total").over(upto), F.lit(0)).alias("base"))
-    # one row of two numbers for each range that ``write`` dealt: their number is a setting, not the data's
+    # one row of two numbers for each file of 256 MB of input and more: some MB for 100 TB
     return rows.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "ids")
 
 
