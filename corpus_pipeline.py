@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.llm import byte_bpe, exact_dedup, mixing, near_dedup, toxicity
-from sensorloom.llm._common import materialise, table
+from sensorloom.llm._common import fresh, materialise, table, text_hash
 
 #: The mix of the pipeline: every document is unique by then, so none is taken twice.
 MIX_EPOCHS = 1
@@ -21,7 +21,7 @@ MIX_SHARE = 0.9
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under one half."""
     lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    own = "_score" + "_" * max(map(len, docs.columns), default=0)  # no column of the input has so long a name
+    (own,) = fresh(docs.columns, "_score")
     return toxicity.score(docs, lexicon, score_col=own).where(F.col(own) < 0.5).drop(own)
 
 
@@ -31,17 +31,16 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: its smallest doc_id."""
-    kept = near_dedup.link(docs).where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(materialise(kept, "pipeline-near"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """One document of each group of near copies, by five-word shingles: its smallest doc_id."""
+    return near_dedup.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the target weights of domains, languages and sources ask for."""
+    key, own = fresh(docs.columns, "_id", "_hash")
     taken = mixing.mix(docs, budget_share=MIX_SHARE, max_epochs=MIX_EPOCHS).where("epochs > 0")
-    taken = materialise(taken.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "pipeline-mix")
-    own = F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (own == F.col("_hash")), "left_semi")
+    taken = materialise(taken.select(F.col("doc_id").alias(key), F.col("text_hash").alias(own)).distinct(), "pipeline-mix")
+    return docs.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (text_hash(F.col("text")) == F.col(own)), "left_semi")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
