@@ -11,13 +11,19 @@ Each leaf then takes whole epochs of its documents and, of the last epoch, the l
 that fits its budget, in an order seeded by seed and epoch. The order's hash is cut into ranges of about
 ``BUCKET_ROWS`` rows; the ranges' totals give each range its base, so no leaf is ever one task's work.
 
+Rows repeated whole are one document with a number of copies: they share their place and are taken or left
+together, however many they are. Domains are the caller's: a mapping from source to domain.
+
 Native: DataFrame functions only. Defined results: null and empty texts have no tokens and follow their
-place in the order; null tree values are a value of their own; rows repeated whole share their place and
-are taken or left together; an empty table gives an empty result.
+place in the order, so they are taken as often as the documents round them, never over ``max_epochs``; a
+leaf without tokens takes nothing; null tree values are a value of their own; sources without a domain
+are in "other"; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,14 +36,18 @@ MAX_EPOCHS = 2
 BUDGET_SHARE = 0.6
 BUCKET_ROWS = 2048
 WORD = r"[^\x20\x09-\x0D]+"
-#: Weights by value at each level; what isn't named weighs 1. The defaults: a mix that leans on two
-#: thirds prose-like sources, with English held to twice any other language.
+#: The domain of each source of the training corpus, data that come with it; unnamed ones are in "other".
+DOMAINS = {f"src{i}": "web" if i < 12 else "books" for i in range(20)}
+#: Weights by value at each level; what isn't named weighs 1. A mix that leans on the web two to one,
+#: with English held to twice any other language.
 WEIGHTS = {"domain": {"web": 2.0, "books": 1.0}, "lang": {"en": 2.0}, "source": {}}
 
 
-def default_domain(source: Column) -> Column:
-    """The domain of a source: sources whose number ends in 0 to 5 are "web", the others "books"."""
-    return F.when(F.regexp_extract(F.coalesce(source, F.lit("")), "[0-5]$", 0) != "", "web").otherwise("books")
+def domain_of(source: Column, domains: dict[str, str]) -> Column:
+    if not domains:
+        return F.lit("other")
+    known = F.create_map(*[F.lit(x) for pair in domains.items() for x in pair])
+    return F.coalesce(F.element_at(known, source), F.lit("other"))
 
 
 def _weight(level: str, weights: dict[str, dict[str, float]]) -> Column:
@@ -47,16 +57,19 @@ def _weight(level: str, weights: dict[str, dict[str, float]]) -> Column:
     return out
 
 
-def budgets(leaves: DataFrame, total: Column | float, tree: tuple[str, ...] = TREE, weights: dict = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """``leaves`` (tree columns, tokens, rows) with ``budget`` tokens. A row a leaf: small windows."""
+def budgets(leaves: DataFrame, total: int, tree: tuple[str, ...] = TREE, weights: dict = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """``leaves`` (tree columns, tokens, rows) with ``budget`` tokens, ``total`` together or all there are.
+
+    A window holds the children of one node, a row each.
+    """
     out = leaves.withColumn("cap", (F.col("tokens") * max_epochs).cast("double"))
-    whole = Window.partitionBy()
-    out = out.withColumn("budget", F.least(F.lit(total).cast("double") if not isinstance(total, Column) else total.cast("double"), F.sum("cap").over(whole)))
+    there = out.agg(F.sum("cap")).first()[0] or 0.0
+    out = out.withColumn("budget", F.lit(min(float(total), there)))
     for depth, level in enumerate(tree):
         above, own = [*tree[:depth]], [*tree[: depth + 1]]
         child = out.groupBy(*own).agg(F.sum("cap").alias("c"), F.first("budget").alias("node"))
         child = child.withColumn("w", _weight(level, weights)).withColumn("ratio", F.col("c") / F.col("w"))
-        parent = Window.partitionBy(*above) if above else Window.partitionBy()
+        parent = Window.partitionBy(*above) if above else Window.partitionBy(F.lit(0))  # the root's children
         order = parent.orderBy("ratio", *own)
         child = child.withColumns({
             "c_before": F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)),
@@ -75,8 +88,8 @@ def budgets(leaves: DataFrame, total: Column | float, tree: tuple[str, ...] = TR
     return out.drop("cap").withColumn("budget", F.floor("budget").cast("long"))
 
 
-def select(rows: DataFrame, plan: DataFrame, tree: tuple[str, ...] = TREE, seed: int = SEED) -> DataFrame:
-    """``rows`` (doc_id, text_hash, tree columns, tokens) with ``epochs``, how often each is taken (0: not at all).
+def select(rows: DataFrame, plan: DataFrame, tree: tuple[str, ...] = TREE, seed: int = SEED, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """``rows`` (doc_id, text_hash, tree columns, tokens, copies; no two alike) with ``epochs``, how often each is taken (0: not at all).
 
     A leaf of ``tokens`` and a budget takes floor(budget / tokens) whole epochs; the epoch after them is cut.
     """
@@ -91,29 +104,34 @@ def select(rows: DataFrame, plan: DataFrame, tree: tuple[str, ...] = TREE, seed:
     # 2^63 in steps of the range's width
     keyed = keyed.withColumn("range", F.floor((F.shiftright("place", 1) + F.lit(1 << 62)) / (F.lit(float(1 << 63)) / F.col("n_ranges"))).cast("int"))
     keyed = materialise(keyed.drop("n_ranges", "leaf_tokens"), "mix-keyed")
-    sums = keyed.groupBy(*leaf, "range").agg(F.sum("tokens").alias("in_range"))
+    own = F.col("tokens") * F.col("copies")
+    sums = keyed.groupBy(*leaf, "range").agg(F.sum(own).alias("in_range"))
     upto = Window.partitionBy(*leaf).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     base = materialise(sums.select(*[F.col(c).alias(t[c]) for c in tree], F.col("range").alias("_range"), "in_range", F.coalesce(F.sum("in_range").over(upto), F.lit(0)).alias("base")), "mix-ranges")
     placed = keyed.join(base, (F.col("range") == F.col("_range")) & same).drop("_range", *t.values())
     inside = Window.partitionBy(*leaf, "range").orderBy("place").rangeBetween(Window.unboundedPreceding, 0)
     # only the one range of a leaf that the budget cuts needs its rows in order
-    edge = (F.col("base") < F.col("rest")) & (F.col("base") + F.col("in_range") > F.col("rest"))
-    cut = placed.where(edge).withColumn("taken", F.col("base") + F.sum("tokens").over(inside) <= F.col("rest"))
-    clear = placed.where(~edge).withColumn("taken", (F.col("base") + F.col("in_range") <= F.col("rest")))
-    return clear.unionByName(cut).withColumn("epochs", F.col("whole") + F.col("taken").cast("int")).drop("whole", "rest", "place", "range", "in_range", "base", "taken")
+    edge = (F.col("base") <= F.col("rest")) & (F.col("base") + F.col("in_range") > F.col("rest"))
+    cut = placed.where(edge).withColumn("taken", F.col("base") + F.sum(own).over(inside) <= F.col("rest"))
+    # without a rest the last epoch is whole, and nothing comes after it
+    clear = placed.where(~edge).withColumn("taken", (F.col("rest") > 0) & (F.col("base") + F.col("in_range") <= F.col("rest")))
+    epochs = F.least(F.col("whole") + F.col("taken").cast("int"), F.lit(max_epochs))
+    return clear.unionByName(cut).withColumn("epochs", epochs).drop("whole", "rest", "place", "range", "in_range", "base", "taken")
 
 
-def mix(df: DataFrame, weights: dict = WEIGHTS, budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", domain=default_domain) -> DataFrame:
-    """(doc_id, text_hash, domain, lang, source, tokens, epochs) of each row of ``df``."""
+def mix(df: DataFrame, weights: dict = WEIGHTS, budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, domains: dict[str, str] = DOMAINS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """(doc_id, text_hash, domain, lang, source, tokens, copies, epochs) of each document of ``df``; ``copies`` counts its rows."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), domain(F.col(source_col)).alias("domain"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("tokens"))
-    rows = materialise(rows, "mix-rows")
-    leaves = rows.groupBy(*TREE).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
-    total = F.floor(F.sum("tokens").over(Window.partitionBy()) * F.lit(budget_share))
-    leaves = leaves.withColumn("total", total)
-    plan = materialise(budgets(leaves, F.col("total"), TREE, weights, max_epochs).drop("total"), "mix-budgets")
-    return select(rows, plan, TREE, seed)
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), domain_of(F.col(source_col), domains).alias("domain"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("tokens"))
+    rows = materialise(rows.groupBy("doc_id", "text_hash", *TREE, "tokens").agg(F.count("*").alias("copies")), "mix-rows")
+    leaves = rows.groupBy(*TREE).agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("rows"))
+    leaves = materialise(leaves, "mix-leaves")
+    total = math.floor((leaves.agg(F.sum("tokens")).first()[0] or 0) * budget_share)
+    plan = materialise(budgets(leaves, total, TREE, weights, max_epochs), "mix-budgets")
+    return select(rows, plan, TREE, seed, max_epochs)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", *TREE, "tokens", "epochs")
+    """A row a document, repeated ones too: doc_id, domain, lang, source, tokens and epochs."""
+    taken = mix(table(spark, sf_dir, "documents"))
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc_id", *TREE, "tokens", "epochs")
