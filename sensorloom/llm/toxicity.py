@@ -6,7 +6,8 @@ exception phrases: a lexicon word inside one of them doesn't count. The weight o
 power of the number of words goes through a logistic curve to a score from 0 to 1.
 
 The lexicon is learned from a bounded sample of labelled rows, ``SAMPLE_ROWS`` of each label at most,
-chosen by hash. A term's evidence counts the different words it follows, not its documents: a term that
+chosen by hash; that is the only bound: every term and every exception phrase with the evidence asked for
+is in the lexicon, so its size is bounded by the sample's distinct words. A term's evidence counts the different words it follows, not its documents: a term that
 only comes with a copied passage always follows the same word. Word beginnings stand for families of
 terms. Labels of held-out rows are never read; lang, source and doc_id are no inputs.
 
@@ -19,6 +20,7 @@ other count each; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,9 +33,11 @@ from pyspark.sql import functions as F
 from ._common import id_and_text, materialise, table
 
 SAMPLE_ROWS = 6000
-#: Terms of the lexicon and exception phrases, at most.
-MAX_TERMS = 3000
 MIN_EVIDENCE = 4
+#: An exception phrase stands in so many clean rows of the sample at least, and in no toxic one.
+MIN_EXCEPTION = 2
+#: Counts of terms that a task combines before it passes them on.
+COMBINE = 200_000
 #: Evidence times the log ratio of its rates in toxic and clean rows, at least; chance reaches it for few terms.
 MIN_GAIN = 30.0
 #: A term is toxic if at least so large a part of its places, by evidence, lies in toxic rows.
@@ -59,6 +63,18 @@ def words(folded: str) -> list[str]:
     return "".join(c if c.isalpha() else " " for c in folded).split()
 
 
+def _outside(found: dict[int, float], spans: list[tuple[int, int]]) -> dict[int, float]:
+    """The places of ``found`` in none of the ``spans``; both are walked once, in order."""
+    out, spans, at, reach = {}, sorted(spans), 0, 0
+    for p in sorted(found):
+        while at < len(spans) and spans[at][0] <= p:
+            reach = max(reach, spans[at][1])
+            at += 1
+        if p >= reach:
+            out[p] = found[p]
+    return out
+
+
 @dataclass
 class Lexicon:
     """``terms``: weight of a whole word, or of a word's beginning when it ends in "*"; ``exceptions``:
@@ -66,7 +82,7 @@ class Lexicon:
 
     terms: dict[str, float] = field(default_factory=dict)
     exceptions: set[str] = field(default_factory=set)
-    power: float = 0.0
+    power: float = 0.5
     slope: float = 0.0
     shift: float = math.log(DEFAULT_SCORE / (1 - DEFAULT_SCORE))
 
@@ -104,8 +120,8 @@ class Lexicon:
                         excused.append((lo, hi))
                 elif ends or kind == "*":
                     best[lo] = max(w, best.get(lo, 0.0))
-        if excused:
-            best = {p: w for p, w in best.items() if not any(lo <= p < hi for lo, hi in excused)}
+        if excused and best:
+            best = _outside(best, excused)
         return sum(best.values()), n
 
     def score(self, weight: float, n: int) -> float:
@@ -128,19 +144,27 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     return materialise(id_and_text(docs).join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label"), "toxic-texts")
 
 
+def _counts(found: Counter) -> pa.RecordBatch:
+    term, kind, before, label = zip(*found, strict=True) if found else ((),) * 4
+    cells = pa.array(term, pa.string()), pa.array(kind, pa.string()), pa.array(before, pa.string()), pa.array(label, pa.int32()), pa.array(list(found.values()), pa.int64())
+    return pa.RecordBatch.from_arrays(list(cells), ["term", "kind", "before", "label", "docs"])
+
+
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, kind, before, label): each word, word beginning and two-word phrase once a text and word before it."""
+    """(term, kind, before, label, docs): each word and word beginning once a text and word before it, counted."""
+    found: Counter = Counter()
     for b in batches:
-        for i in range(len(b)):
-            label, ws = b.column(1)[i].as_py(), words(fold(b.column(0)[i].as_py()))
+        for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            ws = words(fold(text))
             seen = set()
-            for before, w in zip(["", *ws], ws, strict=False):
-                seen.add((w, "w", before))
-                seen |= {(w[:k], "*", before) for k in PREFIXES if len(w) > k}
-                if before:
-                    seen.add((f"{before} {w}", "x", ""))
-            term, kind, before = zip(*seen, strict=True) if seen else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(kind, pa.string()), pa.array(before, pa.string()), pa.array([label] * len(term), pa.int32())], ["term", "kind", "before", "label"])
+            for before, w in set(zip(["", *ws], ws, strict=False)):
+                seen.add((w, "w", before, label))
+                seen |= {(w[:k], "*", before, label) for k in PREFIXES if len(w) > k}
+            found.update(seen)
+            if len(found) > COMBINE:
+                yield _counts(found)
+                found.clear()
+    yield _counts(found)
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, label_col: str = "toxic") -> Lexicon:
@@ -150,25 +174,38 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, la
     if not n_toxic or not n_clean:
         return Lexicon()
     # what a term follows, once a label: its evidence
-    seen = texts.select("text", "label").mapInArrow(_terms, "term string, kind string, before string, label int")
-    each = seen.groupBy("term", "kind", "before").agg(F.max("label").alias("t"), F.max(1 - F.col("label")).alias("c"), F.sum("label").alias("docs"))
-    stats = materialise(each.groupBy("term", "kind").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum("docs").alias("docs")).where((F.col("t") >= MIN_EVIDENCE) | (F.col("kind") == "x")), "toxic-terms")
+    seen = texts.select("text", "label").mapInArrow(_terms, "term string, kind string, before string, label int, docs long")
+    each = seen.groupBy("term", "kind", "before").agg(F.max("label").alias("t"), F.max(1 - F.col("label")).alias("c"))
+    stats = each.groupBy("term", "kind").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where(F.col("t") >= MIN_EVIDENCE)
     t, c = F.col("t") / n_toxic, F.col("c") / n_clean
-    pure = stats.where("kind <> 'x'").where(t / (t + c) >= MIN_PURITY).withColumn("gain", F.col("t") * F.log((t + 0.5 / n_toxic) / (c + 0.5 / n_clean)))
-    found = pure.where(F.col("gain") >= MIN_GAIN).orderBy(F.desc("gain"), "term", "kind").limit(MAX_TERMS).collect()
-    best = {r["term"] + "*" * (r["kind"] == "*"): (r["t"], math.log((r["t"] + 0.5) / n_toxic) - math.log((r["c"] + 0.5) / n_clean)) for r in found}
-    lexicon = Lexicon({k: w for k, (_, w) in best.items() if w > 0})
+    pure = stats.where(t / (t + c) >= MIN_PURITY).withColumn("gain", F.col("t") * F.log((t + 0.5 / n_toxic) / (c + 0.5 / n_clean)))
+    found = pure.where(F.col("gain") >= MIN_GAIN).collect()  # the lexicon: distinct words of the sample at most
+    best = {r["term"] + "*" * (r["kind"] == "*"): math.log((r["t"] + 0.5) / n_toxic) - math.log((r["c"] + 0.5) / n_clean) for r in found}
+    lexicon = Lexicon({k: w for k, w in best.items() if w > 0})
     if not lexicon.terms:
         return Lexicon()
-    # exceptions: phrases round a lexicon word that clean rows have and toxic rows don't
-    plain = [k for k in lexicon.terms if not k.endswith("*")]
-    if plain:
-        phrase = stats.where("kind = 'x'").where((F.col("docs") == 0)).withColumn("half", F.explode(F.split("term", " ")))
-        lexicon.exceptions = {r["term"] for r in phrase.where(F.col("half").isin(plain)).orderBy("term").limit(MAX_TERMS).collect()}
+    lexicon.exceptions = _exceptions({k for k in lexicon.terms if not k.endswith("*")}, texts)
     _fit(lexicon, texts)
     return lexicon
 
 
+def _exceptions(plain: set[str], texts: DataFrame) -> set[str]:
+    """The two-word phrases round a word of ``plain`` that ``MIN_EXCEPTION`` clean texts have and no toxic one."""
+    terms = texts.sparkSession.sparkContext.broadcast(plain)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: Counter = Counter()
+            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ws = words(fold(text))
+                found.update({(f"{v} {w}", "x", "", label) for v, w in zip(ws, ws[1:], strict=False) if v in terms.value or w in terms.value})
+            yield _counts(found)
+
+    rows = texts.select("text", "label").mapInArrow(run, "term string, kind string, before string, label int, docs long")
+    held = rows.groupBy("term").agg(F.sum(F.when(F.col("label") == 0, F.col("docs")).otherwise(0)).alias("clean"), F.max("label").alias("toxic"))
+    return {r["term"] for r in held.where((F.col("clean") >= MIN_EXCEPTION) & (F.col("toxic") == 0)).select("term").collect()}
+
+
 def _fit(lexicon: Lexicon, texts: DataFrame) -> None:
     """The curve, from the (weight, words, label) of the sample: at most 2 * sample_rows rows of three numbers."""
 
@@ -181,7 +218,7 @@ def _fit(lexicon: Lexicon, texts: DataFrame) -> None:
     rows = texts.select("text", "label").mapInArrow(run, "weight double, n long, label int").toPandas()
     y, best = rows["label"].to_numpy(float), math.inf
     share = np.where(y == 1, 1 / max(1, y.sum()), 1 / max(1, (1 - y).sum()))  # both labels weigh the same
-    for power in (0.0, 0.25, 0.5):
+    for power in (0.25, 0.5, 0.75):
         x = np.log1p(rows["weight"].to_numpy() / rows["n"].to_numpy(float) ** power)
         ab = np.zeros(2)
         design = np.stack([np.ones_like(x), x], 1)
@@ -201,12 +238,14 @@ def _fit(lexicon: Lexicon, texts: DataFrame) -> None:
 
 
 def score(df: DataFrame, lexicon: Lexicon, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``df`` with a column of scores; the lexicon, bounded by ``MAX_TERMS``, goes with the tasks."""
+    """``df`` with a column of scores. The lexicon, a part of the bounded sample's words, is broadcast."""
+    shared = df.sparkSession.sparkContext.broadcast(lexicon)
 
     def rate(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        a = lexicon.automaton()
+        known = shared.value
+        a = known.automaton()
         for batch in texts:
-            yield pd.Series([lexicon.score(*lexicon.measure(a, t)) for t in batch], dtype="float64")
+            yield pd.Series([known.score(*known.measure(a, t)) for t in batch], dtype="float64")
 
     udf = F.pandas_udf(rate, "double")
     return df.withColumn(score_col, udf(F.coalesce(F.col(text_col), F.lit(""))))
