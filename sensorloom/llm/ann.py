@@ -1,12 +1,15 @@
 """Approximate nearest neighbours by multi-index hashing of learned rotated binary codes.
 
-A rotation is learned on a bounded sample (principal axes, then alternating sign and Procrustes steps),
-and a vector's code is the signs of its rotated parts. Rows are dealt into blocks by hash; a block cuts
-its codes into substrings of 16 bits and indexes each. A query probes, for each substring, the occupied
-values within floor(radius / substrings) bits: by the pigeonhole principle this finds every code within
-the radius. Those are reranked by the exact distance on the original vectors in double precision. The
-radius is learned on the sample so that it covers ``COVER`` of true neighbours; a block that finds
-fewer than k rows widens it, up to all bits, so each query gets min(k, candidates) rows.
+Rotations are learned on a bounded sample (principal axes, then alternating sign and Procrustes steps),
+and a vector's code is the signs of its parts under all of them, ``CODE_BITS`` or a little more. Rows are
+dealt into blocks by hash; a block cuts its codes into substrings of 16 bits and indexes each. A query
+probes, substring by substring, the occupied values within floor(radius / substrings) bits: by the
+pigeonhole principle this meets every code within the radius. Once it has met most of a block, which it
+does on vectors without structure, the rest of the block counts as met. Met codes are compared whole, and
+those within the radius are reranked by the exact distance on the original vectors in double precision:
+3 % of the rows on vectors without structure. The radius is learned on the sample so that it covers
+``COVER`` of true neighbours; a block that finds fewer than k rows widens it, up to all bits, so each query
+gets min(k, candidates) rows.
 
 Each query meets every block once; blocks return their k best, and the best of these are the answer.
 Blocks are bounded (``BLOCK_ROWS``, ``QUERY_ROWS``), so no vector, however often repeated, makes a large
@@ -29,36 +32,41 @@ SAMPLE_ROWS = 20_000
 BLOCK_ROWS = 65_536
 QUERY_ROWS = 8_192
 SUB_BITS = 16
+#: Long codes tell near from far better, so fewer rows are reranked for the same recall.
+CODE_BITS = 512
 COVER = 0.97
 OUT = "query_id long, query_hash long, vec_id long, score double"
 
 
 class Codes:
-    """Rotations (one for each 64 bits or part of them) and the radius for codes of this many bits."""
+    """Rotations (as many as give ``min_bits`` bits) and the radius for their codes."""
 
-    def __init__(self, sample: np.ndarray, k: int, seed: int = 5, min_bits: int = 64):
+    def __init__(self, sample: np.ndarray, k: int, seed: int = 5, min_bits: int = CODE_BITS):
         rng = np.random.default_rng(seed)
         d = sample.shape[1]
         self.mean = sample.mean(0)
         x = sample - self.mean
         _, axes = np.linalg.eigh(x.T @ x)
         self.rotations = []
+        y = x @ axes
         for _ in range(max(1, -(-min_bits // d))):
             r = np.linalg.qr(rng.normal(size=(d, d)))[0]
-            y = x @ axes
             for _ in range(30):
                 u, _, vt = np.linalg.svd(np.where(y @ r >= 0, 1.0, -1.0).T @ y)
                 r = (u @ vt).T
             self.rotations.append(axes @ r)
         self.bits = d * len(self.rotations)
-        self.words = -(-self.bits // SUB_BITS)
+        self.words = 4 * -(-self.bits // 64)
         self.radius = self._learn_radius(sample, k)
 
     def encode(self, x: np.ndarray) -> np.ndarray:
         """Rows of 16-bit substrings; bits beyond the code are 0 in all of them."""
-        signs = np.concatenate([(x - self.mean) @ r >= 0 for r in self.rotations], 1)
-        signs = np.pad(signs, ((0, 0), (0, self.words * SUB_BITS - self.bits)))
-        return np.packbits(signs, axis=1).view(np.uint16)
+        out = np.empty((len(x), self.words), np.uint16)
+        for lo in range(0, len(x), 4096):
+            signs = np.concatenate([(x[lo : lo + 4096] - self.mean) @ r >= 0 for r in self.rotations], 1)
+            signs = np.pad(signs, ((0, 0), (0, self.words * SUB_BITS - self.bits)))
+            out[lo : lo + 4096] = np.packbits(signs, axis=1).view(np.uint16)
+        return out
 
     def _learn_radius(self, sample: np.ndarray, k: int) -> int:
         q = sample[:: max(1, len(sample) // 200)]
@@ -75,7 +83,7 @@ def usable(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding")
     v = F.col(vector_col)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), bad.alias("bad"), F.exists(v, lambda x: x != 0).alias("some"))
-    return rows.where("vec_id is not null and v is not null and not bad and some").select("vec_id", F.col("v").cast("array<float>").alias("v"))
+    return rows.where("vec_id is not null and v is not null and not bad and some").select("vec_id", F.col("v").cast("array<double>").alias("v"))
 
 
 def _matrix(t: pa.Table, column: str, d: int) -> np.ndarray:
@@ -97,27 +105,36 @@ class BlockIndex:
 
     def __init__(self, codes: np.ndarray):
         self.codes, self.tables = codes, []
-        for s in range(codes.shape[1]):
-            order = np.argsort(codes[:, s], kind="stable")
-            values, starts = np.unique(codes[order, s], return_index=True)
+        self.wide = np.ascontiguousarray(codes).view(np.uint64)  # whole codes, compared 64 bits at a time
+
+    def _table(self, s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows by the value of a substring, the values, where each one's rows begin; made when first probed."""
+        while len(self.tables) <= s:
+            column = self.codes[:, len(self.tables)]
+            order = np.argsort(column, kind="stable")
+            values, starts = np.unique(column[order], return_index=True)
             self.tables.append((order, values, np.append(starts, len(order))))
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """The rows whose code differs in at most ``radius`` bits."""
-        part, found = radius // len(self.tables), np.zeros(len(self.codes), bool)
-        for s, (order, values, starts) in enumerate(self.tables):
+        return self.tables[s]
+
+    def met(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """The rows that probing meets: all within the radius and some more."""
+        n, words = self.codes.shape
+        part, found = radius // words, np.zeros(n, bool)
+        for s in range(words):
+            order, values, starts = self._table(s)
             near = np.flatnonzero(np.bitwise_count(values ^ code[s]) <= part)
-            if len(near) == len(values):
-                found[:] = True
-                break
-            for lo, hi in zip(starts[near], starts[near + 1], strict=True) if len(near) < 64 else ():
-                found[order[lo:hi]] = True
-            if len(near) >= 64:
-                sizes = starts[near + 1] - starts[near]
-                at = np.repeat(starts[near] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-                found[order[at]] = True
-        rows = np.flatnonzero(found)
-        return rows[np.bitwise_count(self.codes[rows] ^ code).sum(1) <= radius]
+            sizes = starts[near + 1] - starts[near]
+            at = np.repeat(starts[near] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            found[order[at]] = True
+            if 2 * np.count_nonzero(found) > n:
+                return np.arange(n)
+        return np.flatnonzero(found)
+
+    def within(self, code: np.ndarray, radius: int, near: np.ndarray | None = None) -> np.ndarray:
+        """The rows whose code differs in at most ``radius`` bits."""
+        rows = self.met(code, radius) if near is None else near
+        wide = self.wide if len(rows) == len(self.wide) else self.wide[rows]
+        return rows[np.bitwise_count(wide ^ code.view(np.uint64)).sum(1, dtype=np.int32) <= radius]
 
 
 def nearest(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", codes: Codes | None = None) -> DataFrame:
@@ -132,14 +149,14 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
     rows, asked = rows.where(F.size("v") == d), asked.where(F.size("v") == d)
     n_blocks = max(partitions(spark), -(-rows.count() // BLOCK_ROWS))
     n_asked = max(1, -(-asked.count() // QUERY_ROWS))
-    shared = spark.sparkContext.broadcast(codes)  # two matrices of d columns
+    shared = spark.sparkContext.broadcast(codes)  # a few square matrices of d columns, whatever the rows
 
     def search(block: pa.Table, ask: pa.Table) -> pa.Table:
         c, out = shared.value, []
         if len(block) and len(ask):
             ids, x = block.column("vec_id").to_numpy(), _matrix(block, "v", d)
-            index = BlockIndex(c.encode(x.astype(np.float64)))
-            q = _matrix(ask, "v", d).astype(np.float64)
+            index = BlockIndex(c.encode(x))
+            q = _matrix(ask, "v", d)
             for i, h, v, code in zip(ask.column("vec_id").to_pylist(), ask.column("hash").to_pylist(), q, c.encode(q), strict=True):
                 radius = c.radius
                 while True:
@@ -147,8 +164,8 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
                     at = at[ids[at] != i]
                     if len(at) >= k or radius >= c.bits:
                         break
-                    radius = min(c.bits, radius + len(index.tables))
-                far = np.sqrt(((x[at].astype(np.float64) - v) ** 2).sum(1))
+                    radius = min(c.bits, radius + c.words)
+                far = np.sqrt(((x[at] - v) ** 2).sum(1))
                 best = np.lexsort((ids[at], far))[:k]
                 out += [(i, h, int(ids[at[j]]), float(far[j])) for j in best]
         a, b, e, f = zip(*out, strict=True) if out else ((),) * 4
