@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.llm import exact_dedup, line_dedup, near_dedup, substring_dedup
 from sensorloom.llm.mph import MinimalPerfectHash
+from tests.llm.conftest import columns_as_before
 
 
 def prose(rng, n):
@@ -44,6 +45,13 @@ def test_exact(edge, nothing):
     assert exact_dedup.resolve(nothing).count() == 0
     kept = exact_dedup.keep_one(edge)
     assert kept.columns == edge.columns and kept.count() == len(groups) and exact_dedup.keep_one(nothing).count() == 0
+    assert columns_as_before(edge, kept)
+
+
+def test_exact_keeps_one_of_rows_alike(spark):
+    rows = [(1, "a b", k) for k in range(50)] + [(1, "ab", 50), (None, "c", 51), (None, "c", 52), (2, "a  b", 53)]
+    kept = exact_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _own_sha long").repartition(6)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, "c"), (2, "a  b")]
 
 
 def test_exact_history_finds_members(spark):
@@ -53,12 +61,12 @@ def test_exact_history_finds_members(spark):
     assert out == {hashlib.sha256(b"a").hexdigest(): (True, 2), hashlib.sha256(b"c").hexdigest(): (False, 2)}
 
 
-def components(rows):
+def components(rows, size=3, per_cent=85):
     """doc_id: (set size, smallest linked doc_id), from all pairs."""
     sets = {}
     for i, t in rows:
         w = [x for x in re.split(r"[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
-        sets[i] = {tuple(w)} if 0 < len(w) < 3 else {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
+        sets[i] = {tuple(w)} if 0 < len(w) < size else {tuple(w[k : k + size]) for k in range(len(w) - size + 1)}
     root = {i: i for i in sets}
 
     def find(x):
@@ -69,13 +77,14 @@ def components(rows):
     ids = sorted(sets)
     for i in ids:
         for j in ids:
-            if j < i and sets[i] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if j < i and sets[i] and 100 * len(sets[i] & sets[j]) >= per_cent * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-def test_near_against_all_pairs(spark, monkeypatch):
+@pytest.mark.parametrize("rule", [near_dedup.CONTRACT, near_dedup.FIVE_WORDS])
+def test_near_against_all_pairs(spark, monkeypatch, rule):
     rng, texts = random.Random(2), []
     for _ in range(25):
         base = prose(rng, rng.choice([2, 5, 60, 300])).split()
@@ -90,9 +99,13 @@ def test_near_against_all_pairs(spark, monkeypatch):
         texts.append(" ".join(["q%d" % k for k in range(i)] + chain[i:]))
     rows = [(i, t) for i, t in enumerate(texts + ["", " ", "a", "A", "a b"])]
     monkeypatch.setattr(near_dedup, "BLOCK", 8)  # large buckets go over many cells
+    monkeypatch.setattr(near_dedup, "CELL_BYTES", 1 << 14)  # and pairs over many groups
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.link(df).collect()}
-    assert got == components(rows)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.link(df, rule=rule).collect()}
+    want = components(rows, rule.shingle, rule.per_cent)
+    assert got == want
+    if rule is near_dedup.FIVE_WORDS:
+        assert sorted(r["doc_id"] for r in near_dedup.keep_one(df).collect()) == sorted({low for _, low in want.values()})
 
 
 def test_near_edges(edge, nothing):
@@ -100,7 +113,20 @@ def test_near_edges(edge, nothing):
     assert len(out) == edge.count()
     assert all(r["kept"] and r["n_shingles"] == 0 and r["component_id"] == r["doc_id"] for r in out if r["doc_id"] in (1, 2, 3))
     assert {r["component_id"] for r in out if r["doc_id"] in (6, 7)} == {6}
-    assert near_dedup.link(nothing).count() == 0
+    assert near_dedup.link(nothing).count() == 0 and near_dedup.keep_one(nothing).count() == 0
+    kept = near_dedup.keep_one(edge)
+    assert kept.columns == edge.columns and columns_as_before(edge, kept)
+    ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
+    assert {1, 2, 3, 6} <= set(ids) and 7 not in ids and len(ids) == len(set(ids))
+
+
+def test_near_keeps_one_row_whatever_the_ids(spark):
+    rng = random.Random(12)
+    base = prose(rng, 80)
+    other = prose(rng, 80)
+    rows = [(5, base), (5, base + " end"), (5, base.upper()), (None, base), (None, other), (None, other), (None, other + " x"), (7, "")] + [(7, "")]
+    kept = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["doc_id"] or 0) for r in kept) == [0, 5, 7, 7]
 
 
 def test_sketches_merge_and_estimate():
@@ -110,7 +136,7 @@ def test_sketches_merge_and_estimate():
     one = np.array([900]), np.array([900])
     for share, want in ((0.95, True), (0.5, False)):
         c = np.concatenate([a[: int(900 * share)], rng.integers(0, 1 << 63, 900 - int(900 * share), dtype=np.uint64)])
-        assert near_dedup.may_link(near_dedup.sketch(a)[None], near_dedup.sketch(c)[None], *one)[0] == want
+        assert near_dedup.may_link(near_dedup.CONTRACT, near_dedup.sketch(a)[None], near_dedup.sketch(c)[None], *one)[0] == want
 
 
 def test_components(spark):
@@ -144,65 +170,101 @@ def test_substring_finds_passages(spark, edge, nothing):
     assert cleaned[3]["text"] == text[3] and len(cleaned[8]["text"].encode()) == len(text[8].encode()) - cleaned[8]["n_removed"] and cleaned[8]["n_removed"] > 200
     assert substring_dedup.repeated_spans(nothing).count() == 0
     out = substring_dedup.clean(edge)
-    assert out.columns == [*edge.columns, "n_removed"] and out.count() == edge.count()
+    assert out.columns == [*edge.columns, "n_removed"] and out.count() == edge.count() and columns_as_before(edge, out)
 
 
 def test_substring_finds_every_short_passage(spark):
     rng = random.Random(7)
-    passages = [prose(rng, 51) for _ in range(300)] + [" ".join([prose(rng, 1)] * 25 + [prose(rng, 1)] * 26) for _ in range(40)]
+    passages = [prose(rng, 51) for _ in range(300)] + [" ".join([f"{prose(rng, 1)}{i:03d}"] * 51) for i in range(40)]
     rows = [(i, f"{prose(rng, rng.randint(1, 90))} {passages[i // 2]} {prose(rng, rng.randint(1, 90))}") for i in range(2 * len(passages))]
     spans = substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert {s["doc_id"] for s in spans} >= set(range(1, len(rows), 2))
 
 
-def test_substring_against_brute_force(spark):
-    rng = random.Random(6)
-    parts = [prose(rng, 40) for _ in range(12)]
-    rows = [(i, " ".join(rng.choice(parts) for _ in range(rng.randrange(6)))) for i in range(20)]
-    seen, want = set(), collections.Counter()
+def spans_of(rows, min_words, min_core):
+    """(doc_id, start, size) of the spans, chunk by chunk in plain Python."""
+    first, out = {}, set()
     for i, t in rows:
-        raw = t.encode()
+        raw, found = t.encode(), []
         ends = substring_dedup.cuts(np.frombuffer(raw, np.uint8)).tolist()
         for a, b in zip([0, *ends[:-1]], ends):
-            want[i] += (raw[a:b] in seen) * (b - a)
-            seen.add(raw[a:b])
-    got = substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), min_words=0).groupBy("doc_id").agg(F.sum("n_bytes").alias("n")).collect()
-    assert {r["doc_id"]: r["n"] for r in got} == {i: n for i, n in want.items() if n}
+            at = first.setdefault(raw[a:b], (i, a))
+            starts = [k for k in range(a, b) if raw[k : k + 1].strip() and (k == 0 or not raw[k - 1 : k].strip())]
+            found.append((a, b, None if at == (i, a) else at, len(starts)))
+        here = {}
+        for a, _, at, _ in found:
+            here.setdefault(at, a)
+        runs, run = [], []
+        for c in [*found, (None, None, None, 0)]:
+            if c[2] is None:
+                runs.append(run)
+                run = []
+            else:
+                run.append(c)
+        for run in runs:
+            words, reach = collections.Counter(), {}
+            for a, _, at, n in run:
+                words[at[0], here[at] - at[1]] += n
+                reach[at[0], here[at] - at[1]] = a
+            far, part = -1, []
+            for a, b, at, n in [*run, (None, None, None, 0)]:
+                if at is not None:
+                    k = at[0], here[at] - at[1]
+                    far = max(far, reach[k]) if words[k] >= min_core else far
+                if at is not None and a <= far:
+                    part.append((a, b, n))
+                elif part:
+                    if sum(n for *_, n in part) >= min_words:
+                        out.add((i, part[0][0], part[-1][1] - part[0][0]))
+                    part = []
+    return out
+
+
+@pytest.mark.parametrize(("min_words", "min_core"), [(0, 0), (24, 16), (10, 8)])
+def test_substring_against_brute_force(spark, min_words, min_core):
+    rng = random.Random(6)
+    parts = [prose(rng, n) for n in (40, 40, 40, 3, 4, 5, 12, 30)] + ["to " * 40, "pa mi " * 30]
+    rows = [(i, " ".join(rng.choice(parts) for _ in range(rng.randrange(9)))) for i in range(40)]
+    got = substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), min_words=min_words, min_core=min_core).collect()
+    assert {(r["doc_id"], r["start"], r["n_bytes"]) for r in got} == spans_of(rows, min_words, min_core)
+
+
+def test_substring_leaves_chance_repeats(spark):
+    rng = random.Random(11)
+    phrases = [prose(rng, 8) for _ in range(60)]  # each repeated, never two of them in the same order
+    rows = [(i, p) for i, p in enumerate(phrases)] + [(100 + i, " ".join(rng.sample(phrases, 12))) for i in range(20)]
+    spans = substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert not spans
 
 
 def repeated_lines(rows, w):
-    """(doc_id, line) deleted: by the rule of the module's docstring, straight from lists."""
-    key = lambda ls: tuple(x.strip(" \t\n\x0b\x0c\r") for x in ls)
-    first, found = {}, []
-    hashes = lambda x: (lambda v: v - (1 << 64) if v >> 63 else v)(__import__("xxhash").xxh64_intdigest(x.encode(), 42))
-    for i, t in rows:
-        ls = key((t or "").split("\n"))
-        order = [(not x, hashes(x)) if x else (False, 0) for x in ls]
-        order = [(x == "", hashes(x) if x else 0) for x in ls]
-        picks = {max((p for p in range(s, min(s + w, len(ls))) if order[p] == min(order[s : s + w]))) for s in range(max(1, len(ls) - w + 1))}
-        for p in sorted(p for p in picks if ls[p]):
-            for e in range(-w + 1, w):
-                lo, hi = (p + e, p + 1) if e < 0 else (p, p + e + 1)
-                if lo >= 0 and hi <= len(ls):
-                    found.append((ls[lo:hi], e, i, p))
-    for k, e, i, p in found:
-        first.setdefault((k, e), (i, p))
-    later = {(i, p, e) for k, e, i, p in found if first[k, e] != (i, p)}
-    out = set()
-    for i, p, e in later:
-        if e == 0:
-            out.add((i, p))
-            for sign in (1, -1):
-                k = 1
-                while (i, p, sign * k) in later:
-                    out.add((i, p + sign * k))
-                    k += 1
+    """(doc_id, line) deleted: all lines of all common runs with an earlier place, straight from lists.
+
+    A run counts if it has ``w`` lines or holds a long one; blank lines are no lines.
+    """
+    bare = [(i, [(k, x.strip(" \t\n\x0b\x0c\r")) for k, x in enumerate((t or "").split("\n"))]) for i, t in rows]
+    docs = [(i, [(k, x) for k, x in ls if x]) for i, ls in bare]
+    long = lambda x: len(x.split()) >= line_dedup.LONG_WORDS or len(x) >= line_dedup.LONG_CHARS
+    places, out = collections.defaultdict(list), set()
+    for d, (_, ls) in enumerate(docs):
+        for p, (_, x) in enumerate(ls):
+            places[x].append((d, p))
+    for d, (i, ls) in enumerate(docs):
+        for p, (_, x) in enumerate(ls):
+            for e, q in places[x]:
+                if (e, q) >= (d, p):
+                    break
+                other, n = docs[e][1], 0
+                while p + n < len(ls) and q + n < len(other) and ls[p + n][1] == other[q + n][1]:
+                    n += 1
+                if n >= w or any(long(y) for _, y in ls[p : p + n]):
+                    out |= {(i, k) for k in range(ls[p][0], ls[p + n - 1][0] + 1)}
     return out
 
 
 def test_lines_against_brute_force(spark, edge, nothing):
     rng = random.Random(9)
-    lines = [prose(rng, 4) for _ in range(40)] + ["", "  "]
+    lines = [prose(rng, 4) for _ in range(40)] + [prose(rng, 30) for _ in range(5)] + ["", "  "]
     runs = [[rng.choice(lines) for _ in range(7)] for _ in range(4)]
     rows = []
     for i in range(30):
@@ -219,7 +281,7 @@ def test_lines_against_brute_force(spark, edge, nothing):
         assert cleaned[i]["text"] == "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in got)
     assert line_dedup.repeated_lines(nothing).count() == 0
     out = line_dedup.clean(edge)
-    assert out.columns == [*edge.columns, "n_deleted"] and out.count() == edge.count()
+    assert out.columns == [*edge.columns, "n_deleted"] and out.count() == edge.count() and columns_as_before(edge, out)
 
 
 @pytest.mark.parametrize("n_lines", [1, 2, 3])
@@ -238,9 +300,15 @@ def test_lines_find_passages_of_few_lines(spark, n_lines):
     assert want <= got
 
 
-def test_lines_without_spaces_and_short_pairs(spark):
+def test_lines_long_without_spaces_and_short_ones_alone(spark):
     rng = random.Random(5)
-    long, pair = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(90)), "so it\ngoes on"
-    rows = [(i, "\n".join([prose(rng, 5), x, prose(rng, 6)])) for i, x in enumerate([long, pair] * 20)]
+    long, pair, three = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(170)), "so it\ngoes on", "one\ntwo\n\nthree"
+    rows = [(i, "\n".join([prose(rng, 5), x, prose(rng, 6)])) for i, x in enumerate([long, pair, three] * 20)]
     runs = line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {(r["doc_id"], r["first_line"], r["n_lines"]) for r in runs} == {(i, 1, 1 + i % 2) for i in range(2, 40)}
+    assert {(r["doc_id"], r["first_line"], r["n_lines"]) for r in runs} == {(i, 1, 1 if i % 3 == 0 else 4) for i in range(3, 60) if i % 3 != 1}
+
+
+def test_line_that_documents_share_stays(spark):
+    rng = random.Random(15)
+    rows = [(i, "\n".join([*[prose(rng, 6) for _ in range(rng.randrange(1, 9))], "Read more", *[prose(rng, 6) for _ in range(rng.randrange(1, 9))]])) for i in range(40)]
+    assert line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
