@@ -236,11 +236,9 @@ def verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return dealt.groupBy("cell").cogroup(full.groupBy("at")).applyInArrow(run, "a binary, b binary")
 
 
-def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(key, root) of all keys in ``links`` (a, b) but the roots: root is the smallest key reachable.
 
-    With ``rounds`` it stops early: each key once, with a root in its component that need not be the smallest.
-
     Alternating large-star and small-star steps: each is an aggregate and a join on distributed tables,
     and the number of steps grows with the logarithm of the graph's size.
     """
@@ -248,7 +246,7 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
         return F.struct(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
 
     edges = materialise(links.where("a <> b").select(ordered(F.col("a"), F.col("b")).alias("e")).select("e.u", "e.v").distinct(), "cc-edges")
-    mark, done = None, 0
+    mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = materialise(both.groupBy("u").agg(F.min("v").alias("m")), "cc-low").select("u", F.least("m", "u").alias("m"))
@@ -257,9 +255,6 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
         low = materialise(edges.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
         small = edges.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v")
         edges = materialise(small.distinct(), "cc-small")
-        done += 1
-        if done == rounds:
-            return edges.groupBy(F.col("u").alias("key")).agg(F.min("v").alias("root"))
         seen = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if seen == mark:
             return edges.select(F.col("u").alias("key"), F.col("v").alias("root"))
@@ -343,13 +338,13 @@ def _linked(df: DataFrame, rule: Rule, id_col: str, text_col: str) -> tuple[Data
                 yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), pa.array(n[0] + n[1])], ["a", "b", "size"]).filter(keep)
 
     links = materialise(verify(materialise(wide.mapInArrow(likely, "a binary, b binary, size long"), "mh-likely"), sets, rule), "mh-links")
-    # near enough to tell most members of a group apart from the rest; the last step settles it
-    roots = materialise(components(links, rounds=1), "mh-roots")
+    # whole components: members that are already linked in a chain needn't be compared again
+    roots = materialise(components(links), "mh-roots")
     rooted = members.select("key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     sketches = side.join(sets.select("key", "deep"), "key")
     mixed = materialise(_cross(shared.select("bucket", "band", "key").join(rooted, "key"), sketches, rule).join(star, ["a", "b"], "left_anti"), "mh-cross")
     more = verify(mixed, sets, rule)
-    roots = materialise(components(links.unionByName(more)), "mh-roots")
+    roots = materialise(components(roots.toDF("a", "b").unionByName(more)), "mh-roots")
     named = classes.select("key", "best").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     return rows, materialise(named, "mh-named")
 
