@@ -83,10 +83,11 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     doc = [F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("doc_hash")]
     place = F.struct(*doc, "at")
     prints = every.groupBy("print").agg(F.min(place).alias("first"), F.max(place).alias("end")).where("first < end").select("print")
-    matched = materialise(every.join(materialise(prints, "line-prints"), "print", "left_semi").drop("print", "at"), "line-places")
+    # merged at every size: what is left of the fingerprints grows with the corpus
+    matched = materialise(every.join(materialise(prints, "line-prints").hint("merge"), "print", "left_semi").drop("print", "at"), "line-places")
     start = F.struct(*doc, "lo")
     firsts = matched.groupBy("k1", "k2").agg(F.min(start).alias("first"), F.max(start).alias("end")).where("first < end").select("k1", "k2", "first")
-    later = matched.join(materialise(firsts, "line-firsts"), ["k1", "k2"]).where(start > F.col("first")).select("doc_id", "doc_hash", "lo", "hi", F.col("first.doc_id").alias("first_doc_id")).distinct()
+    later = matched.join(materialise(firsts, "line-firsts").hint("merge"), ["k1", "k2"]).where(start > F.col("first")).select("doc_id", "doc_hash", "lo", "hi", F.col("first.doc_id").alias("first_doc_id")).distinct()
     # rows of one document: at most a few for each line of it
     by_doc = Window.partitionBy("doc_id", "doc_hash").orderBy("lo", "hi")
     reached = F.max("hi").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
