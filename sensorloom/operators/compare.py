@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,14 +21,31 @@ def checksum(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row_hash(df.columns)), F.lit(0)).cast("string").alias("checksum"))
 
 
-def ordered_checksum(df: DataFrame, order: list[str], blocks: int = 64) -> tuple[int, str]:
-    """(rows, SHA-256) in an order: rows are hashed, folded inside ranges of the order, then over the ranges."""
-    row = F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256)
-    ranged = df.select(*order, row.alias("_h")).repartitionByRange(blocks, *order).sortWithinPartitions(*order)
-    parts = ranged.withColumn("_p", F.spark_partition_id())
-    first = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "_h"))), lambda x: x["_h"]), ""), 256).alias("h"))
-    found = first.orderBy("_p").select("n", "h").collect()  # a row for each of ``blocks`` ranges
-    return sum(r["n"] for r in found), hashlib.sha256("".join(r["h"] for r in found).encode()).hexdigest()
+#: Rows in order are the digits of a number in this base, modulo a prime of 127 bits; so parts can be joined.
+_PRIME, _BASE = (1 << 127) - 1, 0x3C6EF372FE94F82BA54FF53A5F1D36F1
+
+
+def ordered_checksum(df: DataFrame, order: list[str]) -> tuple[int, str]:
+    """(rows, checksum) in an order, ties by content: the same however the rows are dealt to tasks.
+
+    Each range of the order is folded as it streams by, in constant memory, and gives one row.
+    """
+    row = F.unhex(F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256))
+    ranged = df.select(*order, row.alias("_h")).repartitionByRange(*order, "_h").sortWithinPartitions(*order, "_h")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, 0
+        for b in batches:
+            for h in b.column(0).to_pylist():
+                total = (total * _BASE + int.from_bytes(h, "big")) % _PRIME
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([f"{total:x}"])], ["n", "total"])
+
+    numbered = ranged.select("_h").mapInArrow(fold, "n long, total string").select(F.spark_partition_id().alias("p"), "n", "total")
+    rows, total = 0, 0
+    for r in sorted(numbered.collect()):  # a row a task
+        rows, total = rows + r["n"], (total * pow(_BASE, r["n"], _PRIME) + int(r["total"], 16)) % _PRIME
+    return rows, hashlib.sha256(f"{rows}:{total:x}".encode()).hexdigest()
 
 
 def folder_items(files: DataFrame) -> DataFrame:
@@ -44,8 +63,28 @@ def folder_items(files: DataFrame) -> DataFrame:
         files = files.where(F.col("path").contains("/") | (F.col("type") != "d"))
     item = F.array_join(F.slice(F.split("path", "/"), 1, level), "/")
     line = F.concat_ws("\t", "type", "path", F.col("size").cast("string"), "sha")
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", line.alias("line")))), lambda x: x["line"]), "\n")
-    return files.groupBy(item.alias("item")).agg(F.sum((F.col("type") != "d").cast("long")).alias("rows"), F.sha2(lines, 256).alias("checksum"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row an item; its lines come in order and are hashed as they pass."""
+        item, n, digest = None, 0, None
+        out: list[tuple[str, int, str]] = []
+        for b in batches:
+            for i, kind, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if digest is None or i != item:
+                    if digest is not None:
+                        out.append((item, n, digest.hexdigest()))
+                    item, n, digest = i, 0, hashlib.sha256()
+                else:
+                    digest.update(b"\n")
+                digest.update(text.encode())
+                n += kind != "d"
+        if digest is not None:
+            out.append((item, n, digest.hexdigest()))
+        cells = zip(*out, strict=True) if out else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.string(), pa.int64(), pa.string()), strict=True)], ["item", "rows", "checksum"])
+
+    sorted_ = files.select(item.alias("item"), "path", "type", line.alias("line")).repartition("item").sortWithinPartitions("item", "path")
+    return sorted_.select("item", "type", "line").mapInArrow(fold, "item string, rows long, checksum string")
 
 
 def changes(current: DataFrame, base: DataFrame, max_shrink: float = 5.0) -> DataFrame:

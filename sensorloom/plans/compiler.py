@@ -49,11 +49,11 @@ class Resolver:
             if hit is None:
                 raise SchemaError(f"no such column: {e.name}")
             if not aggregates and has_aggregate(hit):
-                raise SyntaxSqlError("aggregate functions are not allowed here")
+                raise SyntaxSqlError("an aggregate cannot stand here")
             return hit
         if isinstance(e, Fn) and e.name in AGGREGATES:
             if not aggregates or inside:
-                raise SyntaxSqlError("aggregate functions are not allowed here")
+                raise SyntaxSqlError("an aggregate cannot stand here")
             inside = True
         out = copy.copy(e)
         for k, v in e.__dict__.items():
@@ -67,7 +67,7 @@ class Resolver:
         e = self.resolve(e, aggregates)
         depth, size = depth_and_size(e)
         if depth > MAX_DEPTH or size > MAX_NODES:
-            raise SyntaxSqlError("expression too large once aliases are expanded")
+            raise SyntaxSqlError("aliases make this expression too large")
         return e
 
 
@@ -106,12 +106,12 @@ def resolve_select(q: Select, columns: list[ColumnDef]) -> Resolved:
 
     group = [term(e, True) for e in q.group]
     if any(map(has_aggregate, group)):
-        raise SyntaxSqlError("GROUP BY cannot use an aggregate")
+        raise SyntaxSqlError("no aggregate in GROUP BY")
     order = [(term(e, True), desc) for e, desc in q.order]
     where = r.checked(q.where, False) if q.where is not None else None
     having = r.checked(q.having, True) if q.having is not None else None
     if having is not None and not group and not any(map(has_aggregate, [*done, having])):
-        raise SyntaxSqlError("HAVING needs GROUP BY or an aggregate")
+        raise SyntaxSqlError("HAVING without groups or an aggregate")
     names = [i.alias or (columns[n.index].name if isinstance(n, Col) else i.expr.src) for i, n in zip(items, done, strict=True)]
     return Resolved(names, done, where, group, having, order)
 

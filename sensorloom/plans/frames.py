@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..errors import MisuseError, SchemaError
 from ..types import ColumnDef
 from .compiler import Source, run_select
 from .syntax import Select, parse
 
-_TYPES = {"string": "text", "double": "real", "float": "float", "int": "int", "smallint": "int", "tinyint": "int"}
+_TYPES = {"string": "text", "double": "real", "float": "real", "int": "int", "smallint": "int", "tinyint": "int"}
 
 
 def source(df: DataFrame, order: list[str] | None = None) -> Source:
-    """A DataFrame as a table: its columns' types from its schema, its scan order by ``order``."""
+    """A DataFrame as a table: its columns' types from its schema, its scan order by ``order``. Floats are read
+    as their shortest decimal."""
+    names = df.dtypes
+    df = df.withColumns({n: F.col(n).cast("string").cast("double") for n, t in names if t == "float"}) if any(t == "float" for _, t in names) else df
     return Source([ColumnDef(n, _TYPES.get(t, "long")) for n, t in df.dtypes], df, order or [])
 
 

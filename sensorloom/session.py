@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from .errors import ExistsError, MisuseError, NotFoundError, SchemaError, TooBigError
 from .plans import syntax as X
-from .plans.compiler import Compiler, Resolver, Source, run_select
+from .plans.access import Range, Way, choose, narrow
+from .plans.compiler import Compiler, Resolver, Source, resolve_select, run_select
 from .plans.constants import evaluate
-from .plans.explain import classify
 from .sources.store import Store, TableDef
 from .types import SPARK, STATIC, ColumnDef, coerce, format_real, read_column, store_column
 
@@ -81,15 +81,24 @@ class Engine:
     def explain(self, text: str) -> Row:
         return self.sql(text if text.lstrip()[:7].upper() == "EXPLAIN" else "EXPLAIN " + text).first()
 
-    def _source(self, name: str | None) -> tuple[Source, TableDef | None]:
-        if name is None:
-            return Source([], self.spark.range(1), []), None
-        if name.lower() == "kv" and name not in self.store.state["tables"]:
-            return Source(KV_COLUMNS, self.kv.items(), ["key"]), None
-        t = self.store.table(name)
+    def _source(self, q: X.Select, params: list) -> tuple[Source, str, str]:
+        """(what a SELECT reads, the way it gets there, the way in words)."""
+        if q.table is None:
+            return Source([], self.spark.range(1), []), "", ""
+        if q.table.lower() == "kv" and q.table not in self.store.state["tables"]:
+            return Source(KV_COLUMNS, self.kv.items(), ["key"]), "full scan", "kv"
+        t = self.store.table(q.table)
         if len(t.columns) > X.MAX_COLUMNS:
             raise SchemaError("SQL reads tables of up to 16 columns")
-        return Source(t.columns, self.store.rows(t), t.order), t
+        way, ranges, files = self._way(t, resolve_select(q, t.columns).where, params)
+        told = f"{way.tell(t.name, ranges)}; {len(files)} of {len(t.entry['files'])} files"
+        return Source(t.columns, self.store.rows(t, files), t.order), way.kind, told
+
+    def _way(self, t: TableDef, where, params: list) -> tuple[Way, dict[str, Range], list[str]]:
+        """(the way to the rows of a resolved WHERE, what it says of columns, the files left to be read)."""
+        ranges = narrow(where, t.columns, params)
+        way = choose(t, ranges)
+        return way, ranges, self.store.files_on(t, way, ranges)
 
     def _run(self, s, params: list, ordered: bool) -> DataFrame | None:
         match s:
@@ -119,32 +128,25 @@ class Engine:
         return None
 
     def _select(self, q: X.Select, params: list, ordered: bool) -> DataFrame:
-        source, t = self._source(q.table)
+        source, kind, told = self._source(q, params)
         out = run_select(q, source, params, self.promote, ordered)  # checks the query, runs nothing
         if not q.explain:
             return out
-        if t is None:
+        if q.table is None:
             raise MisuseError("EXPLAIN needs a table")
-        where = Resolver(t.columns)
-        for item in q.items:
-            e = where.checked(item.expr, True)
-            if item.alias:
-                where.aliases.setdefault(item.alias.lower(), e)
-        tree = where.checked(q.where, False) if q.where is not None else None
-        plan = classify(tree, t.columns, t.key, t.rowid, t.synced, t.kv, {n: i["columns"] for n, i in t.indexes.items()}, params)
-        return self.spark.createDataFrame([(plan.name, plan.detail(t.name))], "plan string, detail string")
+        return self.spark.createDataFrame([(kind, told)], "plan string, detail string")
 
     def _own_table(self, name: str) -> TableDef:
         t = self.store.table(name)
         if t.synced:
-            raise MisuseError("a synced table takes rows only from sync")
+            raise MisuseError("devices alone write to this table")
         return t
 
     def _insert(self, s: X.Insert, params: list) -> int:
         if s.table.lower() == "kv" and s.table not in self.store.state["tables"]:
             names = [c.lower() for c in s.columns or ("key", "value")]
             if sorted(names) != ["key", "value"]:
-                raise SchemaError("INSERT must give every column")
+                raise SchemaError("an INSERT names all columns")
             rows = [dict(zip(names, (evaluate(e, params) for e in row), strict=True)) for row in s.rows]
             self.kv.put_all([(r["key"], r["value"]) for r in rows])
             return len(rows)
@@ -153,11 +155,11 @@ class Engine:
         if s.columns is not None:
             columns = [t.column(c) for c in s.columns]
             if len({c.name for c in columns}) != len(t.columns):
-                raise SchemaError("INSERT must give every column")
+                raise SchemaError("an INSERT names all columns")
         rows = []
         for row in s.rows:
             if len(row) != len(columns):
-                raise SchemaError("wrong number of values")
+                raise SchemaError("wrong number of values in a row")
             given = {c.name: coerce(c, evaluate(e, params)) for c, e in zip(columns, row, strict=True)}
             rows.append(tuple(given[c.name] for c in t.columns))
         return Table(self, s.table)._write(rows, "upsert" if s.replace else "insert")
@@ -169,13 +171,16 @@ class Engine:
         for name, e in sets:
             column = t.column(name)
             values[column.name] = store_column(column, *c.value(r.checked(e, False)))
-        cond = c.truth(r.checked(where, False)) if where is not None else F.lit(True)
-        return self.store.update(t, values, cond)
+        tree = r.checked(where, False) if where is not None else None
+        cond = c.truth(tree) if tree is not None else F.lit(True)
+        return self.store.update(t, values, cond, self._way(t, tree, params)[2])
 
     def _delete(self, table: str, where, params: list) -> int:
         t = self.store.table(table)
-        cond = Compiler(t.columns, params, self.promote).truth(Resolver(t.columns).checked(where, False)) if where is not None else None
-        return self.store.delete(t, cond)
+        if where is None:
+            return self.store.delete(t, None)
+        tree = Resolver(t.columns).checked(where, False)
+        return self.store.delete(t, Compiler(t.columns, params, self.promote).truth(tree), self._way(t, tree, params)[2])
 
     # -- catalog
 
@@ -187,7 +192,7 @@ class Engine:
         def run() -> int:
             t = self.store.table(name)
             if t.synced:
-                raise MisuseError("a synced table stays while devices send to it: DELETE its rows")
+                raise MisuseError("devices fill this table: DELETE its rows instead")
             n = self.store.rows(t).count()
             del self.store.state["tables"][name]
             return n
@@ -325,10 +330,11 @@ class Table:
         t = self.engine._own_table(self.name)
         if t.rowid or len(key) != len(t.key):
             raise MisuseError("the full primary key is needed")
-        return self.engine.store.statement(lambda: self.engine.store.delete(self.engine._own_table(self.name), self._match(t.key, key))) > 0
+        return self.engine.store.statement(lambda: self.engine.store.delete(self.engine._own_table(self.name), *self._match(t.key, key))) > 0
 
-    def _match(self, names: list[str], values: tuple) -> Column:
-        t, out = self.definition, F.lit(True)
+    def _match(self, names: list[str], values: tuple, index: str | None = None) -> tuple[Column, list[str]]:
+        """(the rows whose leading columns have these values, the files that can hold some)."""
+        t, out, ranges = self.definition, F.lit(True), {}
         if len(values) > len(names):
             raise MisuseError("more values than columns")
         for n, v in zip(names, values, strict=False):
@@ -336,13 +342,16 @@ class Table:
             if (c.type == "text") != isinstance(v, str):
                 raise SchemaError(f"column {n}: a value of another kind")
             out = out & (read_column(c) == F.lit(v))
-        return out
+            ranges.setdefault(c.name, Range()).add("=", v)
+        way = Way("index lookup" if index else "range scan", [*ranges], index)
+        return out, self.engine.store.files_on(t, way, ranges)
 
     def get(self, *key) -> Row | None:
         t = self.definition
         if t.rowid or len(key) != len(t.key):
             raise MisuseError("the full primary key is needed")
-        return self._read(self.engine.store.rows(t).where(self._match(t.key, key))).first()
+        match, files = self._match(t.key, key)
+        return self._read(self.engine.store.rows(t, files).where(match)).first()
 
     def prefix(self, *values, reverse: bool = False, limit: int | None = None) -> DataFrame:
         """Rows whose key begins with ``values``, in key order."""
@@ -352,13 +361,31 @@ class Table:
         """The last row whose key begins with ``values``."""
         return self.prefix(*values, reverse=True, limit=1).first()
 
-    def _ordered(self, names: list[str], more: list[str], values: tuple, reverse: bool, limit: int | None) -> DataFrame:
+    def _ordered(self, names: list[str], more: list[str], values: tuple, reverse: bool, limit: int | None, index: str | None = None) -> DataFrame:
         t = self.definition
         order = [*names, *(c for c in [*more, *t.order] if c not in names)]
-        rows = self.engine.store.rows(t).where(self._match(names, values))
+        match, files = self._match(names, values, index)
+        rows = self.engine.store.rows(t, files).where(match)
         rows = rows.orderBy(*[F.desc(c) if reverse else F.asc(c) for c in dict.fromkeys(order)])
         return self._read(rows if limit is None else rows.limit(limit))
 
+    def next(self, *key) -> Row | None:
+        """The first row whose full key comes after ``key``."""
+        return self._beside(key, False)
+
+    def prev(self, *key) -> Row | None:
+        """The last row whose full key comes before ``key``."""
+        return self._beside(key, True)
+
+    def _beside(self, key: tuple, before: bool) -> Row | None:
+        t, store = self.definition, self.engine.store
+        if t.rowid or len(key) != len(t.key):
+            raise MisuseError("the full primary key is needed")
+        own, given = F.struct(*[read_column(t.column(k)).alias(k) for k in t.key]), F.struct(*[F.lit(v).alias(k) for k, v in zip(t.key, key, strict=True)])
+        first = Range(high=key[0]) if before else Range(low=key[0])
+        rows = store.rows(t, store.files_on(t, Way("range scan", ranged=t.key[0]), {t.key[0]: first})).where(own < given if before else own > given)
+        return self._read(rows.orderBy(*[F.desc(k) if before else F.asc(k) for k in t.key]).limit(1)).first()
+
     def index(self, name: str) -> Index:
         if name not in self.definition.indexes:
             raise SchemaError(f"no such index: {name}")
@@ -372,7 +399,7 @@ class Index:
     def prefix(self, *values, reverse: bool = False, limit: int | None = None) -> DataFrame:
         """Rows whose indexed values begin with ``values``, in index order, then key order."""
         t = self.table.definition
-        return self.table._ordered(t.indexes[self.name]["columns"], t.key, values, reverse, limit)
+        return self.table._ordered(t.indexes[self.name]["columns"], t.key, values, reverse, limit, self.name)
 
     def last(self, *values) -> Row | None:
         return self.prefix(*values, reverse=True, limit=1).first()
@@ -404,11 +431,13 @@ class Bucket:
                 raise TooBigError("keys have 1 to 1,024 bytes")
         self.store.statement(run)
 
-    def df(self) -> DataFrame:
-        """(k, v) of the live keys."""
+    def df(self, key: bytes | None = None) -> DataFrame:
+        """(k, v) of the live keys, or of one key."""
         files = self.store.state["buckets"][self.name]["files"]
         spark = self.engine.spark
         rows = spark.read.schema(self.SCHEMA).parquet(*[f"{self.store.root}/{f}" for f in files]) if files else spark.createDataFrame([], self.SCHEMA)
+        if key is not None:
+            rows = rows.where(F.col("k") == F.lit(bytearray(key)))  # reaches the sorted files before the newest are found
         newest = rows.groupBy("k").agg(F.max_by(F.struct("v", "gone"), F.struct("txn", "n")).alias("e"))
         return newest.where(~F.col("e.gone")).select("k", F.col("e.v").alias("v"))
 
@@ -419,7 +448,7 @@ class Bucket:
         self._add(list(entries))
 
     def get(self, key: bytes) -> bytes | None:
-        r = self.df().where(F.col("k") == F.lit(bytearray(key))).first()
+        r = self.df(key).first()
         return bytes(r["v"]) if r else None
 
     def delete(self, key: bytes) -> bool:
@@ -428,6 +457,25 @@ class Bucket:
         self._add([(key, None)])
         return True
 
+    def seek(self, key: bytes) -> tuple[bytes, bytes] | None:
+        """The first entry whose key is ``key`` or comes after it."""
+        return self._one(F.col("k") >= F.lit(bytearray(key)), False)
+
+    def next(self, key: bytes) -> tuple[bytes, bytes] | None:
+        """The first entry after ``key``."""
+        return self._one(F.col("k") > F.lit(bytearray(key)), False)
+
+    def prev(self, key: bytes) -> tuple[bytes, bytes] | None:
+        """The last entry before ``key``."""
+        return self._one(F.col("k") < F.lit(bytearray(key)), True)
+
+    def last(self) -> tuple[bytes, bytes] | None:
+        return self._one(F.lit(True), True)
+
+    def _one(self, where: Column, reverse: bool) -> tuple[bytes, bytes] | None:
+        r = self.df().where(where).orderBy(F.desc("k") if reverse else F.asc("k")).limit(1).first()
+        return (bytes(r["k"]), bytes(r["v"])) if r else None
+
     def scan(self, start: bytes | None = None, reverse: bool = False, limit: int | None = None) -> DataFrame:
         """Entries from the first key >= ``start`` on; with ``reverse`` from the last key <= ``start`` down."""
         df = self.df()

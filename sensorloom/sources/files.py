@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -35,22 +39,34 @@ class Files:
             stream.close()
 
     def write_new(self, path: str, data: bytes) -> bool:
-        """Create a file with its content; False if there is one already."""
+        """Create a file with its content; False if there is one already, also when two do it at once.
+
+        Local files are written aside and linked, other file systems create without overwriting; both are
+        one step that only one of two can win.
+        """
         fs, p = self._at(path)
-        if fs.exists(p):
-            return False
-        # complete under another name first, so nobody reads half a file
-        part = self.jvm.org.apache.hadoop.fs.Path(f"{path}.{self.jvm.java.util.UUID.randomUUID().toString()}")
-        stream = fs.create(part, True)
+        if fs.getScheme() == "file":
+            target = p.toUri().getPath()
+            os.makedirs(os.path.dirname(target), exist_ok=True)
+            part = f"{os.path.dirname(target)}/.{os.path.basename(target)}.{uuid.uuid4().hex}"
+            with open(part, "wb") as f:
+                f.write(data)
+            try:
+                os.link(part, target)
+            except FileExistsError:
+                return False
+            finally:
+                os.remove(part)
+            return True
+        try:
+            stream = fs.create(p, False)
+        except Py4JJavaError as e:
+            if fs.exists(p):
+                return False
+            raise e
         stream.write(bytearray(data))
         stream.close()
-        if fs.exists(p):
-            done = False
-        else:
-            done = fs.rename(part, p)
-        if not done:
-            fs.delete(part, False)
-        return bool(done)
+        return True
 
     def delete(self, path: str) -> bool:
         fs, p = self._at(path)

@@ -50,11 +50,11 @@ def decode(batch: bytes) -> Iterator[Record]:
     at = 0
     while at < len(batch):
         if len(batch) - at < HEADER.size or batch[at] != MARKER:
-            raise CorruptError("the batch is damaged: the records before the damage were kept")
+            raise CorruptError("a record is cut short or its checksum is wrong")
         _, kind, n, seq, crc = HEADER.unpack_from(batch, at)
         payload = batch[at + HEADER.size : at + HEADER.size + n]
         if len(payload) < n or zlib.crc32(batch[at + 1 : at + 8] + payload) != crc or not _sound(kind, payload):
-            raise CorruptError("the batch is damaged: the records before the damage were kept")
+            raise CorruptError("a record is cut short or its checksum is wrong")
         if kind == ROW:
             yield Record(seq, kind, value=payload[2:], series=struct.unpack_from("<H", payload)[0])
         else:
@@ -90,9 +90,9 @@ def unpack_row(columns: list[ColumnDef], data: bytes) -> tuple:
                 out.append(shortest(v) if c.type == "float" else v)
                 at += struct.calcsize(_PACK[c.type])
     except (IndexError, struct.error, UnicodeDecodeError) as e:
-        raise SchemaError("a row doesn't fit its series") from e
+        raise SchemaError("a row's bytes are not those of its series' columns") from e
     if at != len(data):
-        raise SchemaError("a row doesn't fit its series")
+        raise SchemaError("a row's bytes are not those of its series' columns")
     return tuple(out)
 
 

@@ -56,7 +56,7 @@ def lines(engine: Engine) -> DataFrame:
     out = out.unionByName(kv)
     for i, name in enumerate(names):
         t = engine.describe(name)
-        cells = [quote_column(F.col(c.name)) if c.type == "text" else print_real(F.col(c.name).cast("string").cast("double")) if c.type in ("float", "real") else F.col(c.name).cast("string") for c in t.columns]
+        cells = [quote_column(F.col(c.name)) if c.type == "text" else print_real(F.col(c.name)) if c.type in ("float", "real") else F.col(c.name).cast("string") for c in t.columns]
         rows = engine.store.rows(t).select(F.lit(2 + i).alias("part"), F.lit("").alias("key"), F.col("_txn").alias("txn"), F.col("_n").alias("n"), F.concat_ws(" ", F.lit(f"row {name}"), *cells).alias("line"))
         out = out.unionByName(rows)
     return out

@@ -11,10 +11,11 @@ failure is known by its number and skipped.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import CorruptError, GapError, SchemaError
@@ -80,7 +81,7 @@ class Gateway:
         verdict = self.apply_all(df).first()
         if verdict["status"] != "OK":
             error = GapError if verdict["status"] == "GAP" else CorruptError
-            e = error("the batch starts past the gateway's position: send again from last_seq" if verdict["status"] == "GAP" else "the batch is damaged: the records before the damage were kept")
+            e = error("records are missing before this batch; resend after last_seq" if verdict["status"] == "GAP" else "a record of the batch is broken; those up to last_seq are stored")
             e.last_seq = verdict["seq"]
             raise e
         return verdict["seq"]
@@ -88,62 +89,74 @@ class Gateway:
     def apply_all(self, batches: DataFrame, batch_id: tuple[str, int] | None = None) -> DataFrame:
         """Apply batches (device, after_seq, payload[, arrival]) in one commit; (device, status, seq) of each.
 
-        A row of an unknown series or a series whose layout differs from its table refuses everything.
+        A row of an unknown series or a series whose layout differs from its table refuses everything. What
+        ``accept`` decides is written once, in the store's own folders, and read from there.
         """
-        found: list[Row] = []
+        inbox = f"{self.store.root}/data/_inbox/{uuid.uuid4().hex}"
 
-        def run() -> None:
+        def run() -> bool:
             if batch_id is not None:
                 if self.store.state["batches"].get(batch_id[0], -1) >= batch_id[1]:
-                    return
+                    return False
                 self.store.state["batches"][batch_id[0]] = batch_id[1]
-            out = accept(batches, self.positions()).persist()
-            try:
-                found.extend(out.where("what = 'verdict'").select("device", "status", "seq").collect())  # a row a batch
-                self._route(out.where("what = 'record'"))
-            finally:
-                out.unpersist()
+            accept(batches, self.positions()).write.parquet(inbox)
+            self._route(self.spark.read.schema(OUT).parquet(inbox).where("what = 'record'"))
+            return True
 
-        self.store.statement(run)
-        return self.spark.createDataFrame([tuple(r) for r in found], "device long, status string, seq long")
+        if not self.store.statement(run):
+            return self.spark.createDataFrame([], "device long, status string, seq long")
+        return self.spark.read.schema(OUT).parquet(inbox).where("what = 'verdict'").select("device", "status", "seq")
 
     def _route(self, records: DataFrame) -> None:
+        # which kinds of records there are: three numbers
+        named = F.col("key").startswith(F.lit(bytearray(SERIES_KEY)))
+        own = F.col("key").startswith(F.lit(bytearray(b"\x01")))
+        some = lambda c: F.coalesce(F.max(F.coalesce(c, F.lit(False))), F.lit(False))
+        defines, rows, pairs = records.agg(some((F.col("kind") == PUT) & named), some(F.col("kind") == ROW), some(F.col("kind").isin(PUT, DEL) & ~own)).first()
+        if defines:
+            self._define(records.where((F.col("kind") == PUT) & named))
+        if rows:
+            self._rows(records.where(F.col("kind") == ROW).select("device", "seq", "series", "value"))
+        if pairs:
+            self._pairs(records.where(F.col("kind").isin(PUT, DEL) & ~own))
         moved = records.groupBy("device").agg(F.max("seq").alias("last_seq"))
-        # definitions are few: one a device and series
-        definitions = records.where((F.col("kind") == PUT) & F.col("key").startswith(F.lit(bytearray(SERIES_KEY)))).orderBy("device", "seq").select("device", "key", "value").collect()
-        for d in definitions:
-            self._define(d["device"], bytes(d["key"])[2:].decode(), bytes(d["value"]))
-        rows = records.where(F.col("kind") == ROW).select("device", "seq", "series", "value")
-        if rows.limit(1).count():
-            self._rows(rows)
-        pairs = records.where(F.col("kind").isin(PUT, DEL) & ~F.col("key").startswith(F.lit(bytearray(b"\x01"))))
-        if pairs.limit(1).count():
-            self._pairs(pairs)
-        if moved.limit(1).count():
+        if defines or rows or pairs:
             t = self._system(POSITIONS, [("device", "long"), ("last_seq", "long")], ["device"])
             self.store.upsert(t, moved, check=False)
 
-    def _define(self, device: int, name: str, value: bytes) -> None:
-        number, own = int.from_bytes(value[:2], "little"), parse_schema(value[2:].decode())
+    def _define(self, definitions: DataFrame) -> None:
+        """All definitions of a batch of batches: a table for each new name, one write of who calls it by which number."""
+        byte = lambda i: F.conv(F.hex(F.substring("value", i, 1)), 16, 10).cast("int")
+        text = lambda c, i: F.decode(F.expr(f"substring({c}, {i})"), "UTF-8")
+        told = definitions.select("device", "seq", (byte(1) + 256 * byte(2)).alias("series"), text("key", 3).alias("name"), text("value", 3).alias("layout"))
+        layouts: dict[str, list] = {}
+        for r in told.select("name", "layout").distinct().collect():  # a row a series name, if devices agree
+            layouts.setdefault(r["name"], []).append(parse_schema(r["layout"]))
+        for name, found in layouts.items():
+            for own in found:
+                self._table_of(name, own)
+        t = self._system(SERIES, [("device", "long"), ("series", "int"), ("name", "text")], ["device", "series"])
+        newest = told.groupBy("device", "series").agg(F.max_by("name", "seq").alias("name"))
+        self.store.upsert(t, newest, check=False)
+
+    def _table_of(self, name: str, own: list[ColumnDef]) -> None:
         if {c.name.lower() for c in own} & {"device", "seq"} or len(name) > 31:
-            raise SchemaError(f"series {name}: its columns clash with device and seq, or cannot be read")
+            raise SchemaError(f"series {name} needs a shorter name, or columns other than device and seq")
         columns = [ColumnDef("device", "long"), ColumnDef("seq", "long"), *own]
-        if name in self.store.state["tables"]:
-            t = self.store.table(name)
-            if not t.synced or t.kv or [(c.name.lower(), c.type) for c in t.columns] != [(c.name.lower(), c.type) for c in columns]:
-                raise SchemaError(f"series {name}: this device's layout differs from the table's")
-        else:
+        if name not in self.store.state["tables"]:
             self.store.create_table(name, columns, ["device", own[0].name, "seq"], synced=True)
-        t = self._system(SERIES, [("device", "long"), ("series", "int"), ("name", "text")], ["device", "series"])
-        self.store.upsert(t, self.spark.createDataFrame([(device, number, name)], "device long, series int, name string"), check=False)
+            return
+        t = self.store.table(name)
+        if not t.synced or t.kv or [(c.name.lower(), c.type) for c in t.columns] != [(c.name.lower(), c.type) for c in columns]:
+            raise SchemaError(f"series {name} is defined with two layouts")
 
     def _rows(self, rows: DataFrame) -> None:
         if SERIES not in self.store.state["tables"]:
-            raise SchemaError("a row of a series this gateway has not seen defined")
+            raise SchemaError("rows came before any definition of their series")
         named = rows.join(self.store.rows(self.store.table(SERIES)), ["device", "series"], "left")
         names = [r["name"] for r in named.select("name").distinct().collect()]  # a row a series
         if None in names:
-            raise SchemaError("a row of a series this gateway has not seen defined")
+            raise SchemaError("rows came before the definition of their series")
         for name in names:
             t = self.store.table(name)
             own = t.columns[2:]
@@ -155,7 +168,7 @@ class Gateway:
 
             schema = ", ".join(f"`{c.name}` {SPARK[c.type].simpleString()}" for c in t.columns)
             df = named.where(F.col("name") == name).select("device", "seq", "value").mapInPandas(unpack, schema)
-            self.store.upsert(t, df, check=False)  # sequence numbers are new, so are the keys
+            self.store.append(t, df)  # sequence numbers are new, so are the keys: nothing stored is read
 
     def _pairs(self, pairs: DataFrame) -> None:
         name = "kv"
@@ -163,18 +176,11 @@ class Gateway:
             self.store.create_table(name, [ColumnDef("device", "long"), ColumnDef("key", "text"), ColumnDef("value", "text")], ["device", "key"], synced=True, kv=True)
         t = self.store.table(name)
         if not t.kv:
-            raise SchemaError("a table named kv is in the way of the devices' key-value pairs")
+            raise SchemaError("kv is needed for the pairs of devices, but is another table")
         newest = pairs.groupBy("device", "key").agg(F.max_by(F.struct("kind", "value"), "seq").alias("e"))
-        newest = newest.select("device", F.col("key").cast("string").alias("key"), F.col("e.kind").alias("kind"), F.col("e.value").cast("string").alias("value")).persist()
-        try:
-            gone = newest.where(F.col("kind") == DEL).select("device", "key")
-            if gone.limit(1).count():
-                self.store.delete_keys(t, gone)
-            live = newest.where(F.col("kind") == PUT).select("device", "key", "value")
-            if live.limit(1).count():
-                self.store.upsert(t, live, check=False)
-        finally:
-            newest.unpersist()
+        newest = newest.select("device", F.col("key").cast("string").alias("key"), F.col("e.kind").alias("kind"), F.col("e.value").cast("string").alias("value"))
+        self.store.delete_keys(t, newest.where(F.col("kind") == DEL).select("device", "key"))
+        self.store.upsert(t, newest.where(F.col("kind") == PUT).select("device", "key", "value"), check=False)
 
     def stream(self, batches: DataFrame, checkpoint: str, name: str = "sync", available_now: bool = True):
         """A streaming query that applies micro-batches of (device, after_seq, payload[, arrival])."""

@@ -13,7 +13,8 @@ from .errors import SchemaError, TooBigError
 
 #: The names a column's type may have in SQL.
 SQL_NAMES = {"TIME": "time", "TIMESTAMP": "time", "INT": "int", "SMALLINT": "int", "TINYINT": "int", "INTEGER": "long", "BIGINT": "long", "LONG": "long", "FLOAT": "float", "REAL": "real", "DOUBLE": "real", "TEXT": "text", "VARCHAR": "text", "CHAR": "text"}
-SPARK = {"time": T.LongType(), "int": T.IntegerType(), "long": T.LongType(), "float": T.FloatType(), "real": T.DoubleType(), "text": T.StringType()}
+#: FLOAT is kept as the shortest decimal of its 32 bits, in a DOUBLE: filters on it reach the files as they are.
+SPARK = {"time": T.LongType(), "int": T.IntegerType(), "long": T.LongType(), "float": T.DoubleType(), "real": T.DoubleType(), "text": T.StringType()}
 #: The static type of a column in expressions.
 STATIC = {"time": "int", "int": "int", "long": "int", "float": "real", "real": "real", "text": "text"}
 INT64_MIN, INT64_MAX = -(1 << 63), (1 << 63) - 1
@@ -82,10 +83,8 @@ def coerce(column: ColumnDef, value):
 
 
 def read_column(column: ColumnDef, source: Column | None = None) -> Column:
-    """A stored column as expressions see it: whole numbers as LONG, reals as DOUBLE, floats as their shortest decimal."""
+    """A stored column as expressions see it: whole numbers as LONG, reals as DOUBLE."""
     c = F.col(column.name) if source is None else source
-    if column.type == "float":
-        return c.cast("string").cast("double")
     return c.cast({"int": "bigint", "real": "double", "text": "string"}[STATIC[column.type]])
 
 
@@ -97,7 +96,8 @@ def store_column(column: ColumnDef, value: Column, static: str) -> tuple[Column,
     if static in ("text", "null"):
         return F.lit(None).cast(SPARK[column.type]), F.lit(True)
     if column.type in ("float", "real"):
-        return value.cast(SPARK[column.type]), bad | F.isnan(value.cast("double"))
+        bad = bad | F.isnan(value.cast("double"))
+        return (value.cast("float").cast("string").cast("double") if column.type == "float" else value.cast("double")), bad
     whole = value
     if static == "real":
         bad = bad | ~(F.abs(value) < TRUNCATE_LIMIT)
