@@ -94,7 +94,7 @@ def test_lossy_link_applies_each_record_once(engine, tmp_path):
             if r.kind != ROW and not r.reserved:
                 pairs[d, r.key.decode()] = r.value.decode() if r.kind == PUT else None
     assert {(r["device"], r["key"]): r["value"] for r in engine.sql("SELECT * FROM kv").collect()} == {k: v for k, v in pairs.items() if v is not None}
-    assert tuple(engine.explain("SELECT * FROM temps WHERE time > 5")) == ("range per device", "temps, range on time")
+    assert tuple(engine.explain("SELECT * FROM temps WHERE time > 5")) == ("range per device", "temps, range on time; 3 of 3 files")
 
 
 def test_rules(spark, tmp_path):
