@@ -354,10 +354,10 @@ def nation_kv(spark: SparkSession, sf_dir: str) -> Engine:
     return e
 
 
-@query("s04_point_get", "SELECT n_name AS key, CASE WHEN n_name = 'NATION_6' THEN 'twice' ELSE n_regionkey::VARCHAR END AS value FROM nation WHERE n_name IN ('NATION_6', 'NATION_17')")
+@query("s04_point_get", "SELECT n_name AS key, CASE WHEN n_name = 'NATION_6' THEN 'twice' ELSE n_regionkey::VARCHAR END AS value FROM nation WHERE n_name IN ('NATION_6', 'NATION_18')")
 def s04_point_get(spark, sf_dir):
     with nation_kv(spark, sf_dir) as e:
-        return spark.createDataFrame([(k, v) for k in ("NATION_6", "NATION_17", "nowhere") if (v := e.kv.get(k)) is not None], "key string, value string")
+        return spark.createDataFrame([(k, v) for k in ("NATION_6", "NATION_18", "nowhere") if (v := e.kv.get(k)) is not None], "key string, value string")
 
 
 @query("s05_put_delete", "SELECT n_name AS key, CASE WHEN n_name = 'NATION_6' THEN 'twice' ELSE n_regionkey::VARCHAR END AS value FROM nation WHERE NOT (n_regionkey = 2 AND n_nationkey % 2 = 1)")
