@@ -119,13 +119,14 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     all_chunks = materialise(chunks(df, id_col, text_col), "chunks")
     at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc_hash", "place")
     firsts = materialise(all_chunks.groupBy("d1", "d2").agg(F.min(at).alias("at"), F.count("*").alias("places")).where("places > 1").select("d1", "d2", "at"), "chunk-firsts")
-    start = F.shiftright("place", 16)
-    later = all_chunks.join(firsts, ["d1", "d2"]).where(at > F.col("at")).select(
-        "doc_id", "doc_hash", F.col("at.doc_id").alias("keep_doc_id"), start.alias("start"), F.shiftright("place", 8).bitwiseAND(255).alias("size"), F.col("place").bitwiseAND(255).alias("words"),
-        F.xxhash64("at.doc_hash", "at.doc_id").alias("text"), F.shiftright("at.place", 16).alias("from"),
-    ).distinct()
+    # narrow rows for the shuffles: 24 bits of the first place's text beside its 40 bits of start
+    first = F.shiftleft(F.xxhash64("at.doc_hash", "at.doc_id"), 40).bitwiseOR(F.shiftright("at.place", 16))
+    later = all_chunks.join(firsts, ["d1", "d2"]).where(at > F.col("at")).select("doc_id", "doc_hash", "place", F.col("at.doc_id").alias("keep_doc_id"), first.alias("first")).distinct()
     # rows of one document; neighbours have the bytes before them that aren't repeats in common
     doc = ["doc_id", "doc_hash"]
+    later = later.repartition(*doc).select(
+        *doc, "keep_doc_id", F.shiftright("place", 16).alias("start"), F.shiftright("place", 8).bitwiseAND(255).alias("size"), F.col("place").bitwiseAND(255).alias("words"),
+        F.shiftrightunsigned("first", 40).alias("text"), F.col("first").bitwiseAND((1 << 40) - 1).alias("from"))
     own = Window.partitionBy(*doc).orderBy("start")
     later = later.withColumn("run", F.col("start") + F.col("size") - F.sum("size").over(own))
     # of a run, what one other text holds at one distance counts; from its first chunk there to its last goes
