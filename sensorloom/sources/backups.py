@@ -51,6 +51,14 @@ def inflate(data: bytes) -> bytes:
         raise CorruptError(f"damaged gzip data: {e}") from None
 
 
+def inflate_head(data: bytes) -> bytes:
+    """What the first bytes of a gzip file hold."""
+    try:
+        return zlib.decompressobj(31).decompress(data, 65536)
+    except zlib.error as e:
+        raise CorruptError(f"damaged gzip data: {e}") from None
+
+
 def sqlite_items(path: str) -> list[tuple[str, int, str]]:
     """(table, rows, SHA-256 over the rows in key order) of a SQLite file that passes its integrity check."""
     db = sqlite3.connect(f"file:{path}?mode=ro", uri=True)

@@ -38,6 +38,24 @@ class Files:
         finally:
             stream.close()
 
+    def head(self, path: str, n: int) -> bytes:
+        """The first ``n`` bytes of a file."""
+        fs, p = self._at(path)
+        stream = fs.open(p)
+        try:
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(self.jvm.org.apache.commons.io.input.BoundedInputStream(stream, n)))
+        finally:
+            stream.close()
+
+    def sha256(self, path: str) -> str:
+        """The digest of a file, however large, read as a stream."""
+        fs, p = self._at(path)
+        stream = fs.open(p)
+        try:
+            return self.jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+        finally:
+            stream.close()
+
     def write_new(self, path: str, data: bytes) -> bool:
         """Create a file with its content; False if there is one already, also when two do it at once.
 

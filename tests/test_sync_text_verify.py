@@ -147,9 +147,9 @@ def test_verifier(spark, engine, tmp_path):
     with open(f"{tmp_path}/d.db", "wb") as f:
         f.write(b"SQLite format 3\0" + b"\1" * 4000)
     assert v.verify("shop", f"file://{tmp_path}/d.db").verdict == "FAILED"
-    with open(f"{tmp_path}/e.sql", "w") as f:
-        f.write("-- PostgreSQL database dump\n")
-    assert v.verify("pg", f"file://{tmp_path}/e.sql").exit_code == 3
+    with open(f"{tmp_path}/e.dump", "wb") as f:
+        f.write(b"PGDMP" + bytes(40))  # only a server reads this kind
+    assert v.verify("pg", f"file://{tmp_path}/e.dump").exit_code == 3
     (tmp_path / "site/img").mkdir(parents=True)
     for i in range(4):
         (tmp_path / f"site/img/{i}").write_text(str(i))
