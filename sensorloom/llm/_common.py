@@ -5,8 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -105,27 +103,19 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-#: Bits of the prefilter's bitmap (2 MB): a bound that holds for any number of ids.
+#: Bits of the prefilter's bitmap (2^18 words, some 10 MB as a broadcast): a bound that holds for any number of ids.
 PREFILTER_BITS = 1 << 24
 
 
 def prefilter(df: DataFrame, column: str, ids: DataFrame, id_column: str) -> DataFrame:
     """``df`` without most of the rows whose ``column`` isn't among ``ids``; none that is gets lost.
 
-    A bitmap of the ids' hashes, of fixed size, goes to the tasks. It only thins out the input of a join,
+    A bitmap of the ids' hashes, broadcast as at most ``PREFILTER_BITS`` / 64 words, thins out the input of a join,
     which stays exact; with very many ids it lets more rows through. Rows without an id stay.
     """
-    place = F.pmod(F.xxhash64(id_column), F.lit(PREFILTER_BITS))
-    words = ids.select(place.alias("p")).groupBy((F.shiftright("p", 6)).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b")).toPandas()
-    bitmap = np.zeros(PREFILTER_BITS // 64, np.int64)
-    bitmap[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
-    shared = df.sparkSession.sparkContext.broadcast(bitmap.tobytes())
-
-    @F.pandas_udf("boolean")
-    def may_be_in(p: pd.Series) -> pd.Series:
-        at = p.to_numpy(np.int64)
-        bits = np.frombuffer(shared.value, np.int64)
-        return pd.Series((bits[at >> 6] >> (at & 63)) & 1 == 1)
-
-    mine = F.pmod(F.xxhash64(column), F.lit(PREFILTER_BITS))
-    return df.where(may_be_in(mine) | F.col(column).isNull())
+    w, b = fresh(df.columns, "_word", "_bits")
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(PREFILTER_BITS))
+    each = ids.select(F.shiftright(place(id_column), 6).alias(w), (place(id_column) % 64).cast("int").alias("p"))
+    words = each.groupBy(w).agg(F.bit_or(F.expr("shiftleft(1L, p)")).alias(b))
+    out = df.join(F.broadcast(words), F.shiftright(place(column), 6) == F.col(w), "left")
+    return out.where((F.getbit(F.col(b), (place(column) % 64).cast("int")) == 1) | F.col(column).isNull()).drop(w, b)
