@@ -9,11 +9,14 @@ import gzip
 import hashlib
 import io
 import os
+import shutil
 import sqlite3
 import tarfile
 import tempfile
 import zlib
 from collections.abc import Iterator
+from itertools import islice
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +25,8 @@ from pyspark.sql import functions as F
 from ..errors import CorruptError
 from ..operators.compare import folder_items
 
+#: Bytes read at a time.
+STEP = 1 << 20
 ENTRIES = "path string, type string, size long, sha string, nth long"
 
 
@@ -43,14 +48,6 @@ def guess_kind(head: bytes) -> str:
     return "unknown"
 
 
-def inflate(data: bytes) -> bytes:
-    """All members of a gzip file, lengths and checksums checked."""
-    try:
-        return gzip.decompress(data)
-    except (OSError, EOFError, zlib.error) as e:
-        raise CorruptError(f"damaged gzip data: {e}") from None
-
-
 def inflate_head(data: bytes) -> bytes:
     """What the first bytes of a gzip file hold."""
     try:
@@ -59,8 +56,25 @@ def inflate_head(data: bytes) -> bytes:
         raise CorruptError(f"damaged gzip data: {e}") from None
 
 
+def whole_pages(path: str) -> None:
+    """CorruptError unless a SQLite file is as long as its header says: the integrity check forgives a part of a page."""
+    size = os.path.getsize(path)
+    with open(path, "rb") as f:
+        head = f.read(100)
+    if len(head) < 100:
+        raise CorruptError("damaged SQLite file: no header")
+    page = int.from_bytes(head[16:18], "big")
+    page = 65536 if page == 1 else page  # fixed values of the format
+    if page < 512 or page & (page - 1):
+        raise CorruptError(f"damaged SQLite file: pages of {page} bytes")
+    pages = int.from_bytes(head[28:32], "big") if head[24:28] == head[92:96] else 0  # otherwise written by old versions
+    if size % page or pages and size != pages * page:
+        raise CorruptError(f"damaged SQLite file: {size} bytes, but {pages or 'whole'} pages of {page}")
+
+
 def sqlite_items(path: str) -> list[tuple[str, int, str]]:
     """(table, rows, SHA-256 over the rows in key order) of a SQLite file that passes its integrity check."""
+    whole_pages(path)
     db = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
     try:
         if (said := db.execute("PRAGMA integrity_check").fetchone()[0]) != "ok":
@@ -90,36 +104,46 @@ def safe_path(path: str) -> str:
     return "/".join(parts)
 
 
-def tar_entries(data: bytes) -> Iterator[tuple[str, str, int, str, int]]:
-    """(path, type, size, sha, place) of an archive's entries (ustar, GNU, pax)."""
+def tar_entries(stream: BinaryIO) -> Iterator[tuple[str, str, int, str, int]]:
+    """(path, type, size, sha, place) of an archive's entries (ustar, GNU, pax), read once from front to end."""
     try:
-        with tarfile.open(fileobj=io.BytesIO(data), mode="r:") as tar:
+        with tarfile.open(fileobj=stream, mode="r|") as tar:
             for i, m in enumerate(tar):
                 if not (path := safe_path(m.name)):
                     continue
                 if m.isdir():
                     yield path, "d", 0, "", i
                 elif m.isreg():
-                    body = tar.extractfile(m).read()
-                    if len(body) != m.size:
+                    digest, n, body = hashlib.sha256(), 0, tar.extractfile(m)
+                    while some := body.read(STEP):
+                        digest.update(some)
+                        n += len(some)
+                    if n != m.size:
                         raise CorruptError("the archive is cut short")
-                    yield path, "f", m.size, hashlib.sha256(body).hexdigest(), i
+                    yield path, "f", m.size, digest.hexdigest(), i
                 else:
                     yield path, "l", 0, hashlib.sha256((m.linkname or "").encode()).hexdigest(), i
-    except (tarfile.TarError, EOFError) as e:
+        while stream.read(STEP):  # so that a gzip file's own checksum is met
+            pass
+    except (tarfile.TarError, EOFError, OSError, zlib.error) as e:
         raise CorruptError(f"damaged archive: {e}") from None
 
 
+def opened(content: bytes) -> BinaryIO:
+    """What a file holds, unzipped as it is read."""
+    raw = io.BytesIO(content)
+    return gzip.GzipFile(fileobj=raw) if guess_kind(content[:4096]) == "gzip" else raw
+
+
 def archive_items(spark: SparkSession, path: str) -> DataFrame:
     """Items of a tar or tar.gz file, and one of all bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for content in b["content"]:
-                data = bytes(content)
-                if guess_kind(data[:4096]) == "gzip":
-                    data = inflate(data)
-                yield pd.DataFrame(list(tar_entries(data)), columns=["path", "type", "size", "sha", "nth"])
+                entries = tar_entries(opened(content))
+                while some := list(islice(entries, 10_000)):
+                    yield pd.DataFrame(some, columns=["path", "type", "size", "sha", "nth"])
 
     return _with_total(spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, ENTRIES))
 
@@ -144,11 +168,11 @@ def sqlite_file(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for content in b["content"]:
-                data = bytes(content)
-                if guess_kind(data) == "gzip":
-                    data = inflate(data)
                 with tempfile.NamedTemporaryFile(suffix=".db") as f:  # read back by this task alone
-                    f.write(data)
+                    try:
+                        shutil.copyfileobj(opened(content), f, STEP)
+                    except (OSError, EOFError, zlib.error) as e:
+                        raise CorruptError(f"damaged gzip data: {e}") from None
                     f.flush()
                     yield pd.DataFrame(sqlite_items(f.name), columns=["item", "rows", "checksum"])
 
