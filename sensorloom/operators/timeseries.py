@@ -53,9 +53,13 @@ def hysteresis(df: DataFrame, device: str, time: str, on: Column, off: Column) -
     return df.withColumn("active", F.coalesce(F.last(change, ignorenulls=True).over(w), F.lit(0)))
 
 
-def excursions(df: DataFrame, device: str, time: str, value: str, above: float, at_least: int) -> DataFrame:
-    """(device, start, end, peak) of each unbroken run of rows above a limit that lasts ``at_least``."""
-    w = Window.partitionBy(device).orderBy(time)
+def excursions(df: DataFrame, device: str, time: str, value: str, above: float, at_least: int, seq: str | None = None) -> DataFrame:
+    """(device, start, end, peak) of each unbroken run of rows above a limit that lasts ``at_least``.
+
+    Rows of one time follow in arrival (``seq``), then by value, so that the runs don't hang on how the rows are
+    stored or shuffled. Rows without a time come last.
+    """
+    w = Window.partitionBy(device).orderBy(F.col(time).asc_nulls_last(), *([seq] if seq else []), value)
     high = F.col(value) > above
     runs = df.withColumn("_high", high).withColumn("_new", (F.col("_high") & ~F.coalesce(F.lag("_high").over(w), F.lit(False))).cast("int"))
     runs = runs.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_high")

@@ -264,7 +264,7 @@ def t08_retention(spark, sf_dir):
 
 @query("t10_excursions", READINGS + ", h AS (SELECT *, temp > 40 AS high, lag(temp > 40) OVER (PARTITION BY device ORDER BY time) AS before FROM readings), r AS (SELECT *, sum(CASE WHEN high AND NOT coalesce(before, false) THEN 1 ELSE 0 END) OVER (PARTITION BY device ORDER BY time ROWS UNBOUNDED PRECEDING) AS run FROM h) SELECT device, min(time) AS start, max(time) AS end, max(temp) AS peak FROM r WHERE high GROUP BY device, run HAVING max(time) - min(time) >= 3600")
 def t10_excursions(spark, sf_dir):
-    return timeseries.excursions(readings(spark, sf_dir), "device", "time", "temp", 40, 3600)
+    return timeseries.excursions(readings(spark, sf_dir), "device", "time", "temp", 40, 3600, "seq")
 
 
 @query("t11_minutes", READINGS + "SELECT time // 900 * 900 AS start, min(temp) AS low, max(temp) AS high, count(*) AS n, CAST(sum(cents) AS BIGINT) AS total FROM readings GROUP BY 1")
